@@ -15,12 +15,32 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm import langid
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlens.llm.bpe import encode_documents
 
     return encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm.urls import judge_urls
+
+    return judge_urls(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm.quality import judge
+
+    return judge(read_table(spark, sf_dir, "documents")).drop("source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
