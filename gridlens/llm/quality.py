@@ -95,13 +95,11 @@ def judge(docs: DataFrame, least_words: int = 10, most_repeat: int = 20, most_ho
     m = m.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words")))
     hosts = m.groupBy("source").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).select(
-        "m", F.when(F.col("v") > 0, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(0.0))).alias("k")
-    ).select("m", F.when(F.col("k") > 0, F.col("k")).otherwise(weak_prior).alias("k"))
-    verdict = hosts.crossJoin(F.broadcast(prior)).select(  # the prior is one row
-        F.col("source").alias("host"), "host_docs", "host_failed",
-        ((F.col("host_failed") + F.col("m") * F.col("k")) / (F.col("host_docs") + F.col("k")) <= most_host).alias("host_kept"),
-    )
+    m_, v = hosts.agg(F.avg(rate), F.var_samp(rate)).first()
+    k = max(m_ * (1 - m_) / v - 1, 0.0) if v else 0.0
+    k = k or weak_prior
+    shrunk = (F.col("host_failed") + (m_ or 0.0) * k) / (F.col("host_docs") + k)
+    verdict = hosts.select(F.col("source").alias("host"), "host_docs", "host_failed", (shrunk <= most_host).alias("host_kept"))
     return m.join(verdict, m.source.eqNullSafe(verdict.host), "left").select(
         "doc_id", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "host_docs", "host_failed",
