@@ -13,3 +13,55 @@ s AS (
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP3 = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text,
+         md5(coalesce('r' || role, '-') || '|' || coalesce('t' || text, '-')) AS hash
+  FROM conversations),
+p AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+         string_agg(coalesce(CAST(turn AS VARCHAR), '~') || ':' || hash, ',') OVER w AS pre
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, hash ROWS UNBOUNDED PRECEDING)),
+keep AS (
+  SELECT min(conv_id) AS conv_id, n FROM p
+  WHERE k = n AND pre NOT IN (SELECT pre FROM p WHERE k < n) GROUP BY pre, n)
+SELECT t.conv_id, keep.n AS n_turns,
+       string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS LAST, hash) AS rendered
+FROM t JOIN keep ON t.conv_id = keep.conv_id GROUP BY 1, 2
+"""
+
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
+a AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM d GROUP BY source),
+b AS (
+  SELECT *, 2 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+         CAST(coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS given,
+         CAST(sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w
+  FROM a),
+f AS (SELECT *, (150 * total - 100 * given) * w <= 100 * cap * left_w AS free FROM b),
+g AS (SELECT given AS given0, left_w AS left0 FROM f WHERE free ORDER BY given, left_w DESC LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN given >= given0 THEN (CAST(1.5 AS DOUBLE) * total - given0) * w / left0 ELSE CAST(cap AS DOUBLE) END AS target
+  FROM f LEFT JOIN g ON true),
+u AS (SELECT *, CAST(floor(target / greatest(source_size, 1)) AS INTEGER) AS whole FROM t),
+r AS (SELECT *, target - whole * source_size AS rest FROM u),
+c AS (
+  SELECT d.*, r.source_size, r.target, r.whole, r.rest, sum(size) OVER (PARTITION BY d.source ORDER BY place) AS fin
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+cut AS (SELECT source, max(place) FILTER (fin <= rest) AS cut, any_value(rest) AS rest, coalesce(sum(size) FILTER (fin <= rest), 0) AS got,
+               min(substr(place, 1, 2)) FILTER (fin > rest) AS over_block FROM c WHERE rest > 0 GROUP BY source),
+x AS (
+  SELECT d.source, min(struct_pack(off := abs(size - (rest - got)), place := place)).place AS extra
+  FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
+  WHERE place > coalesce(cut, '') AND abs(size - (rest - got)) < rest - got GROUP BY d.source)
+SELECT c.doc_id, c.size, c.source_size, c.target,
+       CAST(c.size * least(2, whole + CASE WHEN cut.rest IS NOT NULL AND (place <= coalesce(cut, '') OR place = coalesce(extra, '')) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c LEFT JOIN cut ON c.source IS NOT DISTINCT FROM cut.source LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source
+"""

@@ -30,6 +30,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm.chat import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlens.llm.urls import judge_urls
 
@@ -42,6 +48,12 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm.mixing import mix
+
+    return mix(read_table(spark, sf_dir, "documents")).drop("shard_1", "shard_2")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlens.llm.pii import find
 
@@ -59,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": oracles.OP5}
+    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6}
