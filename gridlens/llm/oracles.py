@@ -31,6 +31,11 @@ SELECT t.conv_id, keep.n AS n_turns,
 FROM t JOIN keep ON t.conv_id = keep.conv_id GROUP BY 1, 2
 """
 
+_TREE = "".join(f"""
+s{k + 1} AS (
+  SELECT source, rank, 2 * shard + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY md5('mix-{k}:' || coalesce(source, 'null') || ':' || rank), source, rank)
+         > floor(count(*) OVER (PARTITION BY shard) / 2) THEN 1 ELSE 0 END AS shard FROM s{k}),""" for k in range(3))
+
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -60,8 +65,25 @@ cut AS (SELECT source, max(place) FILTER (fin <= rest) AS cut, any_value(rest) A
 x AS (
   SELECT d.source, min(struct_pack(off := abs(size - (rest - got)), place := place)).place AS extra
   FROM d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
-  WHERE place > coalesce(cut, '') AND abs(size - (rest - got)) < rest - got GROUP BY d.source)
-SELECT c.doc_id, c.size, c.source_size, c.target,
-       CAST(c.size * least(2, whole + CASE WHEN cut.rest IS NOT NULL AND (place <= coalesce(cut, '') OR place = coalesce(extra, '')) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c LEFT JOIN cut ON c.source IS NOT DISTINCT FROM cut.source LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source
+  WHERE place > coalesce(cut, '') AND abs(size - (rest - got)) < rest - got GROUP BY d.source),
+q AS (
+  SELECT c.*, coalesce(cut.cut, '') AS cut, cut.over_block, place = coalesce(extra, '') AS is_extra,
+         CAST(least(2, whole + CASE WHEN cut.rest IS NOT NULL AND (place <= coalesce(cut.cut, '') OR place = coalesce(extra, '')) THEN 1 ELSE 0 END) AS INTEGER) AS copies
+  FROM c LEFT JOIN cut ON c.source IS NOT DISTINCT FROM cut.source LEFT JOIN x ON c.source IS NOT DISTINCT FROM x.source),
+h AS (SELECT DISTINCT source, substr(place, 1, 2) AS block, whole, over_block FROM q),
+k AS (
+  SELECT source, block, 1 AS pass FROM h WHERE whole >= 1
+  UNION SELECT source, block, least(whole + 1, 2) FROM h WHERE whole >= 2 OR block <= over_block),
+m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('mix-blocks:' || coalesce(source, 'null') || ':' || block || ':' || pass), pass, block) AS rank FROM k),
+s0 AS (SELECT source, rank, 0 AS shard FROM m),
+TREE
+runs AS (SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard, rank) AS rank FROM s3),
+y AS (SELECT m.source, m.block, m.pass, runs.shard FROM m JOIN runs ON m.source IS NOT DISTINCT FROM runs.source AND m.rank = runs.rank)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * q.copies AS BIGINT) AS taken,
+       CASE WHEN copies >= 1 THEN y1.shard END AS shard_1, CASE WHEN copies >= 2 THEN y2.shard END AS shard_2
+FROM q
+LEFT JOIN y y1 ON q.source IS NOT DISTINCT FROM y1.source AND y1.pass = 1 AND y1.block = CASE WHEN whole >= 1 OR NOT is_extra THEN substr(place, 1, 2) ELSE over_block END
+LEFT JOIN y y2 ON q.source IS NOT DISTINCT FROM y2.source AND y2.pass = 2 AND y2.block = CASE WHEN is_extra THEN over_block ELSE substr(place, 1, 2) END
 """
+
+OP6 = OP6.replace("TREE", _TREE)

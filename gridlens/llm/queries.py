@@ -51,7 +51,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlens.llm.mixing import mix
 
-    return mix(read_table(spark, sf_dir, "documents")).drop("shard_1", "shard_2")
+    return mix(read_table(spark, sf_dir, "documents"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
