@@ -87,3 +87,17 @@ LEFT JOIN y y2 ON q.source IS NOT DISTINCT FROM y2.source AND y2.pass = 2 AND y2
 """
 
 OP6 = OP6.replace("TREE", _TREE)
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM p),
+f AS (SELECT doc_id, i, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0 FROM g WINDOW o AS (PARTITION BY s ORDER BY doc_id, i)),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE (doc_id, i) <> (d0, i0)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (
+  SELECT words.doc_id, count(*) FILTER (cover.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (cover.i IS NULL) AS kept
+  FROM words LEFT JOIN cover ON words.doc_id = cover.doc_id AND words.i = cover.i GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""

@@ -60,6 +60,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(read_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm.substring import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlens.llm.quality import judge
 
@@ -71,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6}
+    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6, "op8_substring_dedup": oracles.OP8}
