@@ -193,6 +193,29 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
+def accept(docs: DataFrame, model: Model, least: float = 0.4, penalty: float = 2.0) -> DataFrame:
+    """docs' rows, with their own columns, whose language is known: not 'und', and a share of at least `least`. A null lang becomes the prediction."""
+    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp))
+    cols = docs.columns
+    text, lang = cols.index("text"), cols.index("lang") if "lang" in cols else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*held.value)
+        for b in batches:
+            texts = b.column(text).to_pylist()
+            for i, j in groups_of(texts, 400_000):
+                share = mixtures([t or "" for t in texts[i:j]], m, penalty)
+                top = share.max(axis=1, initial=0)
+                part = b.slice(i, j - i)
+                if lang is not None and m.langs:
+                    best = share.argmax(axis=1)
+                    named = pa.array([v if v is not None else m.langs[k] for v, k in zip(part.column(lang).to_pylist(), best)], part.column(lang).type)
+                    part = pa.RecordBatch.from_arrays([named if k == lang else part.column(k) for k in range(len(cols))], cols)
+                yield part.filter(pa.array(top >= max(least, 1e-9)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id=None):
     d = F.col("doc_id") if doc_id is None else doc_id
     return F.coalesce(F.crc32(d.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -101,3 +101,22 @@ k AS (
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+OP10 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT s.doc_id, n, s.s, df FROM s JOIN n USING (doc_id) JOIN (SELECT s, count(*) AS df FROM s GROUP BY s) USING (s)),
+r AS (SELECT doc_id, n, s, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS k FROM f),
+c AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb
+  FROM r a JOIN r b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  WHERE a.k <= a.n - (80 * a.n + 99) // 100 + 1 AND b.k <= b.n - (80 * b.n + 99) // 100 + 1),
+i AS (SELECT a, b, na, nb, count(*) AS m FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND x.s = y.s GROUP BY a, b, na, nb),
+e AS MATERIALIZED (SELECT a, b FROM i WHERE 100 * m >= 80 * (na + nb - m)),
+sym AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, reach.c FROM reach JOIN sym ON sym.a = reach.v AND reach.c < sym.b)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(c) AS component_id, w.doc_id = min(c) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN reach ON w.doc_id = reach.v GROUP BY w.doc_id, n
+"""

@@ -72,9 +72,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridlens.llm.neardup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).drop("th")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6, "op8_substring_dedup": oracles.OP8}
+    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op10_minhash": oracles.OP10}
