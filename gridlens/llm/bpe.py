@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -21,8 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gridlens.llm.common import _caches, tidy
+
 END = 0x10000  # added to the code point of a piece's last unit
-PLAIN = "ɏ"  # up to here NFC changes nothing and all versions of Unicode agree
+_RARE = regex.compile("[^\x00-\u024f]")  # up to there NFC changes nothing and all versions of Unicode agree
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 
 
@@ -33,12 +36,28 @@ def byte_units() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Known(dict):
+    """What `find` gives, kept for pieces of ordinary length; in two generations of `room`, so that frequent ones stay."""
+
+    def __init__(self, find: Callable[[str], str], room: int):
+        super().__init__()
+        _caches.append(self)
+        self.find, self.room, self.old = find, room, {}
+
+    def __missing__(self, p: str) -> str:
+        got = self.old.get(p) or self.find(p)
+        if len(p) <= 32:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[p] = got
+        return got
+
+
 class Codec:
     """Tables of one tokenizer file (its JSON text), and the encoder over them."""
 
-    def __init__(self, spec: bytes, room: int = 150_000):
-        from tokenizers import Tokenizer
-
+    def __init__(self, spec: bytes, room: int = 100_000):
         d = json.loads(spec)
         model = d["model"]
         assert model["end_of_word_suffix"] == "</w>" and not model["continuing_subword_prefix"]
@@ -66,16 +85,27 @@ class Codec:
         table = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in table])])
         self.blob = np.frombuffer(b"".join(table), np.uint8)
+        self.ids = {f: i for i, f in form.items()}
+        self.prefix: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.room = room
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known = Known(self.piece, room)
+        self.decimal = [str(i) for i in range(len(form))]
+        self.unit_of = dict(enumerate(self.units))
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.library = Tokenizer.from_buffer(spec)
+        self.spec = spec
+
+    @cached_property
+    def library(self):
+        """The tokenizers library's own object: for its Unicode tables only, and only once a text needs them."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_buffer(self.spec)
 
     # -- pieces ---------------------------------------------------------------------------------
     def pieces(self, part: str) -> list[str]:
         """Normalised pieces of a text without special tokens. Rare letters go by the library's own tables."""
-        if part.isascii() or max(part) <= PLAIN:
+        if not _RARE.search(part):
             return _CUT.findall(part.lower())
         clean = self.library.normalizer.normalize_str(part)
         back = {u: b for b, u in enumerate(self.units)}
@@ -111,54 +141,60 @@ class Codec:
             ok = self.pairs[key] = self.merged("".join(self.form[i] for i in want)) == want
         return ok
 
+    def shorter(self, token: int) -> tuple[int, int] | None:
+        """(length, id) of the longest token that is a proper prefix of this one."""
+        if token not in self.prefix:
+            f = self.form[token]
+            self.prefix[token] = next(((n, self.ids[f[:n]]) for n in range(len(f) - 1, 0, -1) if f[:n] in self.ids), None)
+        return self.prefix[token]
+
     def encode_units(self, units: str) -> list[int]:
-        starts: list[list[tuple[int, int]]] = [[] for _ in units]
-        for end, hit in self.automaton.iter(units):
-            starts[end - hit[0] + 1].append(hit)  # ascending length
+        """The one tokenisation whose neighbours all fit; by the longest token first, stepping back at dead ends."""
         n, at, out, dead = len(units), 0, [], bytearray(len(units) + 1)
-        while at < n:
-            here = starts[at]
-            before = out[-1][1] if out else -1
-            while here:
-                hit = here.pop()
-                if not dead[at + hit[0]] and self.fits(before, hit[1]):
-                    out.append(hit)
-                    at += hit[0]
+        longest: list = [None] * n
+        for end, hit in self.automaton.iter(units):
+            longest[end - hit[0] + 1] = hit  # longer ones end later
+        pairs, fits = self.pairs, self.fits
+        before = -1
+        hit = longest[0]
+        while True:
+            while hit:
+                size, token = hit
+                if not dead[at + size] and (ok if (ok := pairs.get((before + 1) << 20 | token)) is not None else fits(before, token)):
                     break
+                hit = self.shorter(token)
+            if hit:
+                out.append(hit)
+                at += size
+                if at == n:
+                    return [i for _, i in out]
+                before, hit = token, longest[at]
             else:
                 dead[at] = 1
-                at -= out.pop()[0]
-        return [i for _, i in out]
-
-    def piece(self, p: str) -> tuple[tuple[int, ...], str]:
-        got = self.known.get(p)
-        if got is None:
-            units = "".join([self.units[b] for b in p.encode()])
-            ids = self.encode_units(units[:-1] + chr(END + ord(units[-1])))
-            got = tuple(ids), " ".join(map(str, ids))
-            if len(p) <= 32:
-                if len(self.known) >= self.room:
-                    self.known.clear()
-                self.known[p] = got
-        return got
+                size, token = out.pop()
+                at -= size
+                before = out[-1][1] if out else -1
+                hit = self.shorter(token)
+
+    def piece(self, p: str) -> str:
+        """Ids of one piece, as decimal text."""
+        units = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.unit_of)
+        ids = self.encode_units(units[:-1] + chr(END + ord(units[-1])))
+        return " ".join([self.decimal[i] for i in ids])
 
     def encode(self, text: str | None) -> tuple[np.ndarray, str]:
         """Ids, and the same as decimal text."""
         if not text:
             return np.empty(0, np.int64), ""
-        ids: list[int] = []
         said: list[str] = []
         parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                ids.append(self.special[part])
                 said.append(str(self.special[part]))
             elif part:
-                for p in self.pieces(part):
-                    i, s = self.known.get(p) or self.piece(p)
-                    ids += i
-                    said.append(s)
-        return np.array(ids, np.int64), " ".join(said)
+                said += map(self.known.__getitem__, self.pieces(part))
+        all_ = " ".join(said)
+        return np.fromstring(all_, np.int64, sep=" "), all_
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens' strings joined by one space (the file names no decoder)."""
@@ -203,6 +239,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(spec.value)
+        c.known.old = {}
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)
@@ -214,10 +251,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
                     cols["ids_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
                     cols["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
                     if with_ids:
-                        cols["ids"].append(ids)
+                        cols["ids"].append(ids.astype(np.int32))
                     if with_text:
                         cols["decoded"].append(back.decode())
                 cols["doc_id"] = b.column(0)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if n != "doc_id" else cols[n] for n, t in fields], [n for n, _ in fields])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, ddl)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), ddl)

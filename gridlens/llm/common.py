@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,9 +55,10 @@ def buckets(spark: SparkSession) -> int:
 class WordHashes(dict):
     """UTF-8 word -> 64-bit xxHash; forgets all once it holds `room` words, so memory is bounded."""
 
-    def __init__(self, room: int = 250_000):
+    def __init__(self, room: int = 120_000):
         super().__init__()
         self.room = room
+        _caches.append(self)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
@@ -97,14 +104,39 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def groups_of(texts, most: int):
-    """Index ranges of consecutive texts that hold about `most` characters at most, or one text."""
+def groups_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive texts that hold about `most` bytes at most, or one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if i > at and size + n > most:
             yield at, i
             at, size = i, 0
         size += n
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+_caches: list[dict] = []
+
+
+def release() -> None:
+    """Give a task's memory back: workers live on between tasks, and beside other stages' workers."""
+    for c in _caches:
+        c.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every libc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with release() after a task's last batch."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
