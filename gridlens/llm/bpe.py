@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridlens.llm.common import _caches, tidy
+from gridlens.llm.common import _caches, small_batches, tidy
 
 END = 0x10000  # added to the code point of a piece's last unit
 _RARE = regex.compile("[^\x00-\u024f]")  # up to there NFC changes nothing and all versions of Unicode agree
@@ -257,4 +257,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
                 cols["doc_id"] = b.column(0)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) if n != "doc_id" else cols[n] for n, t in fields], [n for n, _ in fields])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), ddl)
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), ddl)

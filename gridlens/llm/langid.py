@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import groups_of, mix
+from gridlens.llm.common import groups_of, mix, small_batches, tidy
 
 BITS = 17
 _LETTER: np.ndarray | None = None
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 64, smoothing:
     on a hash of doc_id, so no rows of one language meet in a task; counts are added up by hashed
     feature in each task before their shuffle, and the table that reaches the driver has 2^17 cells a language.
     """
-    rows = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(lang as string) lang", "cast(text as string) text").where(
+    rows = small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(lang as string) lang", "cast(text as string) text").where(
         "lang is not null and text is not null and not coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, true)"
     )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
@@ -82,16 +82,16 @@ def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 64, smoothing:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(1 << BITS, np.int64) for k in langs}
         for b in batches:
-            lang, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in groups_of(text, 500_000):
-                for k in set(lang[i:j]):
-                    feats, _, _ = word_grams(code_points([t for t, x in zip(text[i:j], lang[i:j]) if x == k])[0])
+            for i, j in groups_of(b.column(1), 500_000):
+                lang, text = (b.column(k).slice(i, j - i).to_pylist() for k in (0, 1))
+                for k in set(lang):
+                    feats, _, _ = word_grams(code_points([t for t, x in zip(text, lang) if x == k])[0])
                     total[k] += np.bincount(feats, minlength=1 << BITS)
         for k, v in total.items():
             if (at := np.flatnonzero(v)).size:
                 yield pa.RecordBatch.from_arrays([pa.array([langs.index(k)] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(v[at])], ["l", "f", "n"])
 
-    got = sample.mapInArrow(count, "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow()
+    got = sample.mapInArrow(tidy(count), "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros((1 << BITS, len(langs)))
     n[got.column("f").to_numpy(), got.column("l").to_numpy()] = got.column("n").to_numpy()
     seen = max(1, int((n.sum(axis=1) > 0).sum()))
@@ -180,9 +180,9 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
             for i, j in groups_of(texts, 400_000):
-                share = mixtures([t or "" for t in texts[i:j]], m, penalty)
+                share = mixtures([t or "" for t in texts.slice(i, j - i).to_pylist()], m, penalty)
                 best = share.argmax(axis=1) if m.langs else np.zeros(j - i, int)
                 none = share.sum(axis=1) == 0
                 pred = ["und" if z else m.langs[k] for k, z in zip(best, none)]
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
                 maps = [[(m.langs[k], float(v)) for k, v in enumerate(row) if v > 0.005] for row in share]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(top), pa.array(maps, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "mixture"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, lang_pred string, score double, mixture map<string,double>")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.4, penalty: float = 2.0) -> DataFrame:
@@ -202,9 +202,9 @@ def accept(docs: DataFrame, model: Model, least: float = 0.4, penalty: float = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
         for b in batches:
-            texts = b.column(text).to_pylist()
+            texts = b.column(text)
             for i, j in groups_of(texts, 400_000):
-                share = mixtures([t or "" for t in texts[i:j]], m, penalty)
+                share = mixtures([t or "" for t in texts.slice(i, j - i).to_pylist()], m, penalty)
                 top = share.max(axis=1, initial=0)
                 part = b.slice(i, j - i)
                 if lang is not None and m.langs:
@@ -213,7 +213,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.4, penalty: float = 2
                     part = pa.RecordBatch.from_arrays([named if k == lang else part.column(k) for k in range(len(cols))], cols)
                 yield part.filter(pa.array(top >= max(least, 1e-9)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def held_out(doc_id=None):

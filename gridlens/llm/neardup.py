@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import WordHashes, buckets, grams, groups_of, mix, staged, words_of
+from gridlens.llm.common import buckets, grams, groups_of, mix, release, small_batches, staged, tidy, WordHashes, words_of
 from gridlens.llm.substring import _pack, _runs, _unpack
 
 TOKENS = 128
@@ -59,7 +59,7 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2)
-            for i, j in groups_of(texts.to_pylist(), 2_000_000):
+            for i, j in groups_of(texts, 2_000_000):
                 sets = [shingles(t.as_py(), words) for t in texts.slice(i, j - i)]
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full) if full else ())
@@ -67,7 +67,7 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
                 sigs = [next(sig).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "th", "n_shingles", "key", "sig"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) th", "cast(text as string) text").mapInArrow(run, "doc_id long, th long, n_shingles long, key binary, sig binary")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) th", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, th long, n_shingles long, key binary, sig binary")
 
 
 def schedule(n: int, recall: float, similarity: float, apart: float = 26.0, room: int = 16) -> tuple[int, int]:
@@ -192,6 +192,7 @@ def compare(t: pa.Table, least: int, parts: int) -> pa.Table:
         for members, root in similar(v[at], sk[at], least):
             a.append(members)
             b.append(np.full(len(members), root))
+    release()
     if not a:
         return pa.table({"home": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
     return _roots(*local_components(np.concatenate(a), np.concatenate(b)), parts)
@@ -314,7 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     depth, trees = schedule(classes.count(), recall, similarity)
     expected = SKETCH * (similarity + (1 - similarity) / 16)
     least = int(expected - 5 * math.sqrt(expected * (1 - expected / SKETCH)))
-    walked = classes.where("rep is not null").select("rep", "sig").mapInArrow(lambda it: nodes(it, depth, trees, similarity, parts), "part int, blob binary")
+    walked = classes.where("rep is not null").select("rep", "sig").mapInArrow(tidy(lambda it: nodes(it, depth, trees, similarity, parts)), "part int, blob binary")
     met = walked.groupBy("part").applyInArrow(lambda t: compare(t, least, parts), "home int, blob binary")
     groups = staged(components(met.groupBy("home").applyInArrow(merge, "a long, b long")))
 
@@ -327,11 +328,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(4)
-            for i, j in groups_of(texts.to_pylist(), 2_000_000):
+            for i, j in groups_of(texts, 2_000_000):
                 full = [shingles(t.as_py(), words).tobytes() for t in texts.slice(i, j - i)]
                 yield pa.RecordBatch.from_arrays([*[b.column(x).slice(i, j - i) for x in range(4)], pa.array(full, pa.binary())], ["v", "c", "blocks", "block", "set"])
 
-    own = member.mapInArrow(sets, "v long, c long, blocks int, block int, set binary")
+    own = member.mapInArrow(tidy(sets), "v long, c long, blocks int, block int, set binary")
     # a small group is one task's with others; a heavy one is judged by pairs of its blocks
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("c").alias("g"), F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     alone = F.array(F.struct(F.pmod(F.xxhash64("c"), F.lit(4 * parts)).cast("long").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
@@ -346,7 +347,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows, with their own columns: one document of each group of near-duplicates, and one of repeated rows."""
+    """docs' rows, with their own columns: one document of each group of near-duplicates, and one of repeated rows.
+
+    Texts of one doc_id are one document; if it is the one that stays, it stays with the text of the smallest hash.
+    Rows with a null doc_id and no partner stay, once for each text.
+    """
     cols = docs.columns
     found = near_duplicates(docs, **options).where("kept")
     one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("th")).alias("x")).agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("n"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import staged
+from gridlens.llm.common import small_batches, staged, tidy
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -126,11 +126,11 @@ def find_base(docs: DataFrame, reach: int = 5) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [_CTX]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols, kinds)], ["doc_id", "th", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "ctx"])
 
-    return _keyed(docs).mapInArrow(run, _ROW)
+    return _keyed(docs).mapInArrow(tidy(run), _ROW)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) th", "cast(text as string) text")
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) th", "cast(text as string) text")
 
 
 def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         total[h] = total.get(h, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["term", "n"])
 
-    counts = docs.selectExpr("cast(text as string) text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = docs.selectExpr("cast(text as string) text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return terms.join(counts, "term")
 
 
@@ -241,4 +241,4 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
                 arrays[i] = pa.array([old if t == n else len(n) for t, n, old in zip(texts, new, arrays[i].to_pylist())], arrays[i].type)
             yield pa.RecordBatch.from_arrays(arrays, cols)
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(tidy(run), docs.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import WordHashes, grams, groups_of, mix, staged, words_of
+from gridlens.llm.common import grams, groups_of, mix, small_batches, staged, tidy, WordHashes, words_of
 
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "[#*$%&|<>]"
 WINDOW = 5
@@ -59,7 +59,7 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words to (key..., text); drops the text."""
     for b in batches:
         texts = b.column(b.num_columns - 1)
-        for i, j in groups_of(texts.to_pylist(), 2_000_000):
+        for i, j in groups_of(texts, 2_000_000):
             part = [t or "" for t in texts.slice(i, j - i).to_pylist()]
             words = [words_of(t) for t in part]
             n = np.array([len(w) for w in words], np.int64)
@@ -91,7 +91,7 @@ def judge(docs: DataFrame, least_words: int = 10, most_repeat: int = 20, most_ho
     is one row of the counts; AQE splits its documents if the counts are too large to broadcast.
     """
     ddl = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    m = staged(docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(source as string) source", "cast(text as string) text").mapInArrow(measures, ddl))
+    m = staged(small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(source as string) source", "cast(text as string) text").mapInArrow(tidy(measures), ddl))
     m = m.withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat * F.col("n_words")))
     hosts = m.groupBy("source").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed"))
     rate = F.col("host_failed") / F.col("host_docs")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import WordHashes, buckets, groups_of, mix, words_of
+from gridlens.llm.common import buckets, groups_of, mix, release, small_batches, tidy, WordHashes, words_of
 
 FAR = 1 << 40
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -153,7 +153,7 @@ def windows(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: i
     for b in batches:
         all_ids, all_sums = b.column(0), b.column(1)
         texts_all = b.column(2)
-        for i0, j0 in groups_of(texts_all.to_pylist(), 3_000_000):
+        for i0, j0 in groups_of(texts_all, 3_000_000):
             ids = np.array([NULL_ID if v is None else v for v in all_ids.slice(i0, j0 - i0).to_pylist()], np.int64)
             sums = np.array([0 if v is None else v for v in all_sums.slice(i0, j0 - i0).to_pylist()], np.int64)
             order = np.argsort(ids, kind="stable")
@@ -256,6 +256,7 @@ def meet(key: tuple, t: pa.Table, parts: int) -> pa.Table:
                 i, s = ids[x : x + y], sums[x : x + y]
                 new = np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])])
                 out.append((int(home[x]), _repeats(i[new], s[new], np.cumsum(new) - 1, pos[x : x + y])))
+    release()
     return pa.table({"home": pa.array([h for h, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
 
@@ -281,8 +282,8 @@ def gather(key: tuple, t: pa.Table, width: int) -> pa.Table:
 def repeats(docs: DataFrame, width: int = 20, rounds: int = 4, parts: int | None = None) -> DataFrame:
     """doc_id, crc (of the text), cover: flat [start, end) pairs of word positions that repeat an earlier window."""
     parts = parts or buckets(docs.sparkSession)
-    keyed = docs.selectExpr("cast(doc_id as bigint) doc_id", "crc32(cast(cast(text as string) as binary)) crc", "cast(text as string) text")
-    sent = keyed.mapInArrow(lambda it: windows(it, width, rounds, parts), "part int, kind int, blob binary")
+    keyed = small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "crc32(cast(cast(text as string) as binary)) crc", "cast(text as string) text")
+    sent = keyed.mapInArrow(tidy(lambda it: windows(it, width, rounds, parts)), "part int, kind int, blob binary")
     met = sent.groupBy("part").applyInArrow(lambda key, t: meet(key, t, parts), "home int, blob binary")
     return met.groupBy("home").applyInArrow(lambda key, t: gather(key, t, width), "doc_id long, crc long, cover array<int>")
 
@@ -298,7 +299,7 @@ def dedup(docs: DataFrame, width: int = 20, with_text: bool = False, **options)
     Buckets are sized by spark.sql.shuffle.partitions; a window occurs once a batch in its bucket, however often the batch has it.
     """
     cover = repeats(docs, width, **options).select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "cover")
-    keyed = docs.selectExpr("cast(doc_id as bigint) doc_id", "crc32(cast(cast(text as string) as binary)) crc", "cast(text as string) text")
+    keyed = small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "crc32(cast(cast(text as string) as binary)) crc", "cast(text as string) text")
     both = keyed.join(cover, keyed.doc_id.eqNullSafe(cover.d) & keyed.crc.eqNullSafe(cover.c), "left").select("doc_id", "text", "cover")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
@@ -318,4 +319,4 @@ def dedup(docs: DataFrame, width: int = 20, with_text: bool = False, **options)
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.string()) for c in cols[2 : 3 + with_text]]], names)
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return both.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
