@@ -36,6 +36,7 @@ def labelled() -> list[tuple[str, int]]:
             out += [("http://" + p.format(a, stems[(i + 1) % len(stems)]), y) for p in PLACES]
     # neutral hosts and paths that carry no stem are ordinary
     out += [(f"https://{w}.example.{t}/{lang}/{n}", 0) for w in ("www", "m", "blog", "shop") for t in ("com", "net", "org") for lang in ("en", "de", "fr", "es") for n in (7, 118, 4032)]
+    out += [(f"http://{w}.{t}/{path}", 0) for w in ("a", "ab", "my", "web", "site1", "x7") for t in ("com", "net", "org", "info", "biz") for path in ("", "index.html", "page/2")]
     return out
 
 
