@@ -120,3 +120,23 @@ reach(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT sym.b, reach.c
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, min(c) AS component_id, w.doc_id = min(c) AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN reach ON w.doc_id = reach.v GROUP BY w.doc_id, n
 """
+
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT rid, unnest(range(i, i + 5)) AS i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM g) WHERE n > 1),
+c AS (SELECT rid, count(DISTINCT i) AS n_repeat_words FROM r GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+m AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN l USING (rid) LEFT JOIN c USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (base_failed) AS host_failed FROM b GROUP BY source),
+p AS (SELECT avg(host_failed / host_docs) AS m, var_samp(host_failed / host_docs) AS v FROM h),
+k AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 10 END AS k FROM p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (host_failed + m * k) / (host_docs + k) <= 0.5 AS kept, host_docs, host_failed
+FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source JOIN k ON true
+"""

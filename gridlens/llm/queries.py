@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op10_minhash": oracles.OP10}
+    return {"op3_chat_formatting": oracles.OP3, "op5_exact_top_k": oracles.OP5, "op6_mixing": oracles.OP6, "op8_substring_dedup": oracles.OP8, "op9_quality_rules": oracles.OP9, "op10_minhash": oracles.OP10}
