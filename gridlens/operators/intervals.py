@@ -70,8 +70,8 @@ def interval_join(points: DataFrame, point: str, spans: DataFrame, lo: str, hi:
     return left.join(right, "_bucket").where(F.col(point).between(F.col(lo), F.col(hi))).drop("_bucket")
 
 
-def tolerance_join(left: DataFrame, target: str, right: DataFrame, value: str, tolerance: float) -> DataFrame:
-    """All pairs with |value - target| / target <= tolerance, for positive targets; names must not clash.
+def tolerance_join(left: DataFrame, target: str, right: DataFrame, value: str, tolerance: float, on: list[str] | None = None) -> DataFrame:
+    """All pairs, equal in `on`, with |value - target| / target <= tolerance, for positive targets; other names must not clash.
 
     Values go to buckets of one tolerance's width on a logarithmic scale, so a target looks into three or four
     of them. From a tolerance of 1 on, the range reaches 0 and nearly all pairs are wanted: a plain condition.
@@ -79,7 +79,8 @@ def tolerance_join(left: DataFrame, target: str, right: DataFrame, value: str, t
     t, v = F.col(f"`{target}`"), F.col(f"`{value}`")
     near = F.abs(v - t) / t <= tolerance
     if tolerance >= 1:
-        return left.where(t > 0).join(right, near)
+        a = left.where(t > 0)
+        return a.join(right, on).where(near) if on else a.join(right, near)
     width = math.log1p(max(tolerance, 1e-6))
 
     def at(c: Column, shift: float = 0.0) -> Column:
@@ -87,4 +88,4 @@ def tolerance_join(left: DataFrame, target: str, right: DataFrame, value: str, t
 
     a = left.where(t > 0).withColumn("_bucket", F.explode(F.sequence(at(t * (1 - tolerance), -1e-6), at(t * (1 + tolerance), 1e-6))))
     b = right.where(v > 0).withColumn("_bucket", at(v))
-    return a.join(b, "_bucket").where(near).drop("_bucket")
+    return a.join(b, [*(on or []), "_bucket"]).where(near).drop("_bucket")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.functions.exprs import finite, rel_err
+from gridlens.functions.exprs import finite
 from gridlens.operators.intervals import tolerance_join
 from gridlens.operators.scoring import ranked, resolve, score_curtailments
 from gridlens.sources.schemas import CURT, KIND, MW, NAME, OUT_START, PMAX, RES, SELF, SEQ, STARTTIME
@@ -45,13 +45,12 @@ def daily_max_mw(bids: DataFrame) -> DataFrame:
 def raw_matches(planned: DataFrame, lookup: DataFrame, bids: DataFrame, tolerance: float = 0.05) -> DataFrame:
     """Events whose remaining capacity a fitting id's daily maximum meets within the tolerance.
 
-    Bids of ids and dates that no event asks for are dropped before the daily maxima are taken.
+    Bids of ids that fit no event are dropped before the daily maxima are taken. An event then meets the maxima of
+    its date that lie near its capacity, which are few, and only those pairs are checked against the sizes.
     """
-    asked = planned.join(lookup, RES)
-    wanted = asked.select(SEQ).distinct()
+    wanted = lookup.select(SEQ).distinct()
     daily = daily_max_mw(bids.select(SEQ, STARTTIME, MW, SELF).join(wanted, SEQ, "left_semi")).withColumnRenamed("date", "curtailment_date")
-    both = asked.join(daily, ["curtailment_date", SEQ])
-    near = both.where((F.col("expected_available_mw") > 0) & (rel_err(F.col("daily_max_mw"), F.col("expected_available_mw")) <= tolerance))
+    near = tolerance_join(planned, "expected_available_mw", daily, "daily_max_mw", tolerance, ["curtailment_date"]).join(lookup, [RES, SEQ])
     return near.select(RES, NAME, "curtailment_date", PMAX, CURT, "expected_available_mw", SEQ, "daily_max_mw")
 
 

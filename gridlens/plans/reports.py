@@ -22,6 +22,7 @@ def outage_event_counts(outages: DataFrame, final: DataFrame) -> DataFrame:
 
 def confidence_histogram(final: DataFrame, bins: int = 40) -> DataFrame:
     """bin, n, n_unambiguous: counts over equal bins of log10(1 / (1 - confidence)) for confidences under 1; how many are 1 stands beside each."""
+    final = final.select("confidence").cache()  # one row an id; read three times
     x = F.log10(1 / (1 - F.col("confidence")))
     open_ = final.where("confidence < 1").select(F.round(x, 9).alias("x"))
     lo, hi = open_.agg(F.min("x"), F.max("x")).first()
