@@ -72,6 +72,9 @@ class WordHashes(dict):
         self.room = room
         _caches.append(self)
 
+    def __reduce__(self):
+        return type(self), (self.room,)  # what is known stays where it is
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
             self.clear()
@@ -84,6 +87,8 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: What release() empties.
+_caches: list[dict] = []
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -129,9 +134,6 @@ def groups_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-_caches: list[dict] = []
-
-
 def release() -> None:
     """Give a task's memory back: workers live on between tasks, and beside other stages' workers."""
     for c in _caches:
