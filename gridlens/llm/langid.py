@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
     return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, mixture map<string,double>")
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.4, penalty: float = 2.0) -> DataFrame:
+def accept(docs: DataFrame, model: Model, least: float = 0.25, penalty: float = 2.0) -> DataFrame:
     """docs' rows, with their own columns, whose language is known: not 'und', and a share of at least `least`. A null lang becomes the prediction."""
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp))
     cols = docs.columns
