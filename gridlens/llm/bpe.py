@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridlens.llm.common import _caches, small_batches, tidy
+from gridlens.llm.common import small_batches, tidy
 
 END = 0x10000  # added to the code point of a piece's last unit
 _RARE = regex.compile("[^\x00-\u024f]")  # up to there NFC changes nothing and all versions of Unicode agree
@@ -41,7 +41,6 @@ class Known(dict):
 
     def __init__(self, find: Callable[[str], str], room: int):
         super().__init__()
-        _caches.append(self)
         self.find, self.room, self.old = find, room, {}
 
     def __missing__(self, p: str) -> str:
@@ -210,18 +209,6 @@ class Codec:
         return b"".join(out)[:-1]
 
 
-_codecs: dict[int, Codec] = {}
-
-
-def codec(spec: bytes) -> Codec:
-    """One codec a worker process and file."""
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; on request ids (array<int>) and decoded (string).
 
@@ -238,8 +225,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec.value)
-        c.known.old = {}
+        c = Codec(spec.value)
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 b = whole.slice(k, 500)

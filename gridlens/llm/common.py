@@ -65,15 +65,11 @@ def buckets(spark: SparkSession) -> int:
 
 
 class WordHashes(dict):
-    """UTF-8 word -> 64-bit xxHash; forgets all once it holds `room` words, so memory is bounded."""
+    """UTF-8 word -> 64-bit xxHash; forgets all once it holds `room` words, so memory is bounded. One a task."""
 
     def __init__(self, room: int = 120_000):
         super().__init__()
         self.room = room
-        _caches.append(self)
-
-    def __reduce__(self):
-        return type(self), (self.room,)  # what is known stays where it is
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.room:
@@ -87,8 +83,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: What release() empties.
-_caches: list[dict] = []
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -136,8 +130,6 @@ def groups_of(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def release() -> None:
     """Give a task's memory back: workers live on between tasks, and beside other stages' workers."""
-    for c in _caches:
-        c.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # not every libc has it

@@ -31,12 +31,11 @@ SKETCH = 64  # tokens whose low 4 bits make the sketch: 32 bytes
 GOLD = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(12345)
 _XOR, _MUL = _rng.integers(0, 1 << 63, TOKENS, np.uint64), _rng.integers(0, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1)
-_hashes = WordHashes()
 
 
-def shingles(text: str | None, words: int) -> np.ndarray:
+def shingles(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; with fewer words, of all its words; none: empty."""
-    h = _hashes.of(words_of(text, lower=True))
+    h = hashes.of(words_of(text, lower=True))
     if not len(h):
         return h
     return np.unique(grams(h, words)) if len(h) >= words else grams(h, len(h))
@@ -57,10 +56,11 @@ def profile(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, key (128-bit hash of the set, null if empty), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             texts = b.column(2)
             for i, j in groups_of(texts, 2_000_000):
-                sets = [shingles(t.as_py(), words) for t in texts.slice(i, j - i)]
+                sets = [shingles(t.as_py(), words, hashes) for t in texts.slice(i, j - i)]
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full) if full else ())
                 keys = [xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -326,10 +326,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     member = text.join(cut, text.doc_id == cut.v).select("v", "c", "blocks", "block", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             texts = b.column(4)
             for i, j in groups_of(texts, 2_000_000):
-                full = [shingles(t.as_py(), words).tobytes() for t in texts.slice(i, j - i)]
+                full = [shingles(t.as_py(), words, hashes).tobytes() for t in texts.slice(i, j - i)]
                 yield pa.RecordBatch.from_arrays([*[b.column(x).slice(i, j - i) for x in range(4)], pa.array(full, pa.binary())], ["v", "c", "blocks", "block", "set"])
 
     own = member.mapInArrow(tidy(sets), "v long, c long, blocks int, block int, set binary")

@@ -52,18 +52,16 @@ def line_repeats(text: str) -> int:
     return n
 
 
-_hashes = WordHashes()
-
-
 def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words to (key..., text); drops the text."""
+    hashes = WordHashes()
     for b in batches:
         texts = b.column(b.num_columns - 1)
         for i, j in groups_of(texts, 2_000_000):
             part = [t or "" for t in texts.slice(i, j - i).to_pylist()]
             words = [words_of(t) for t in part]
             n = np.array([len(w) for w in words], np.int64)
-            h = np.concatenate([_hashes.of(w) for w in words]) if n.sum() else np.empty(0, np.uint64)
+            h = np.concatenate([hashes.of(w) for w in words]) if n.sum() else np.empty(0, np.uint64)
             doc = np.repeat(np.arange(len(part)), n)
             yield pa.RecordBatch.from_arrays(
                 [

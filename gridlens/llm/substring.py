@@ -143,12 +143,12 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(x)))
 
 
-_hashes = WordHashes()
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
 
 
 def windows(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, kind, blob): kind 0 holds windows for the bucket `part`, kind 1 repeats found in this batch already."""
+    hashes = WordHashes()
     schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
     for b in batches:
         all_ids, all_sums = b.column(0), b.column(1)
@@ -159,7 +159,7 @@ def windows(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: i
             order = np.argsort(ids, kind="stable")
             ids, sums = ids[order], sums[order]
             part_texts = texts_all.slice(i0, j0 - i0)
-            hs = [_hashes.of(words_of(part_texts[int(k)].as_py())) for k in order]
+            hs = [hashes.of(words_of(part_texts[int(k)].as_py())) for k in order]
             n = np.array([len(x) for x in hs], np.int64)
             h = np.concatenate(hs)
             if not (n >= width).any():
