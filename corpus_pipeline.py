@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlens.llm import bpe, langid, mixing, neardup, pii
-from gridlens.llm.common import read_table, staged
+from gridlens.llm.common import buckets, read_table, staged
 from gridlens.llm.queries import tokenizer_path
 
 
@@ -31,7 +31,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out to meet their sources' target weights, and shuffled in shards."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, shards=buckets(spark))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ gets its own run of each source's permuted blocks and is shuffled by itself.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,11 @@ from pyspark.sql.window import Window
 from gridlens.llm.common import staged
 
 WEIGHTS = (3, 1, 2)
-DIGITS = (2, 5)  # hex digits of the first and second level of blocks
+
+
+def block_digits(shards: int) -> int:
+    """Hex digits of a place that name its block: a source has 256 blocks, or as many as there are shards."""
+    return max(2, math.ceil(math.log(max(shards, 1), 16)))
 
 
 def n_words(text: Column) -> Column:
@@ -39,6 +44,7 @@ class Plan:
     blocks: DataFrame  # source, block, pass (1, 2), shard
     shards: int
     seed: str
+    digits: int
 
 
 def targets(sizes: DataFrame, share_percent: int, most: int, weights=WEIGHTS) -> DataFrame:
@@ -62,12 +68,13 @@ def plan(docs: DataFrame, share_percent: int = 150, most: int = 2, shards: int =
     """docs: source, size, place (see sized). shards is rounded up to a power of two."""
     src = lambda a, b: a["source"].eqNullSafe(b["source"])
     t = staged(targets(docs, share_percent, most))
+    first = block_digits(shards)
     t = t.withColumn("whole", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     # where the rest ends: in which block, which sub-block of it, and at which document of that
     at = t.select("source", F.col("rest").alias("room"), F.lit("").alias("block"))
-    for k, digits in enumerate((*DIGITS, 32)):
+    for outer, digits in ((0, first), (first, first + 3), (first + 3, 32)):
         known = at.select(F.col("source").alias("s"), "room", "block")
-        inside = docs.join(known, docs.source.eqNullSafe(known.s) & (F.substring("place", 1, DIGITS[k - 1] if k else 0) == F.col("block")))
+        inside = docs.join(known, docs.source.eqNullSafe(known.s) & (F.substring("place", 1, outer) == F.col("block")))
         sums = inside.groupBy("source", "room", F.col("block").alias("outer"), F.substring("place", 1, digits).alias("inner")).agg(F.sum("size").alias("n"))
         w = Window.partitionBy("source").orderBy("inner")
         sums = sums.withColumn("end", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -86,13 +93,14 @@ def plan(docs: DataFrame, share_percent: int = 150, most: int = 2, shards: int =
     d = docs.join(known, docs.source.eqNullSafe(known.s)).where((F.col("place") > F.col("cut")) & (F.abs(F.col("size") - F.col("lack")) < F.col("lack")))
     more = d.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), "place")).alias("m")).select(F.col("source").alias("s"), F.col("m.place").alias("extra"))
     t = staged(t.join(more, t.source.eqNullSafe(more.s), "left").drop("s", "rest"))
-    return Plan(t, staged(deal(docs, t, shards, seed)), 1 << max(0, (shards - 1).bit_length()), seed)
+    return Plan(t, staged(deal(docs, t, shards, seed)), 1 << max(0, (shards - 1).bit_length()), seed, first)
 
 
 def deal(docs: DataFrame, sources: DataFrame, shards: int, seed: str) -> DataFrame:
-    """source, block, pass, shard: the splitting tree over block counts. At most 256 blocks a source and pass."""
-    s = sources.select(F.col("source").alias("s"), "whole", F.substring("cut", 1, DIGITS[0]).alias("cut_block"))
-    b = docs.select("source", F.substring("place", 1, DIGITS[0]).alias("block")).distinct()
+    """source, block, pass, shard: the splitting tree over block counts, of which there is one a source, pass and block_digits()."""
+    digits = block_digits(shards)
+    s = sources.select(F.col("source").alias("s"), "whole", F.substring("cut", 1, digits).alias("cut_block"))
+    b = docs.select("source", F.substring("place", 1, digits).alias("block")).distinct()
     b = b.join(s, b.source.eqNullSafe(s.s)).select("source", "block", F.explode(F.array(F.when(F.col("whole") >= 1, 1), F.when((F.col("whole") >= 2) | (F.col("block") <= F.col("cut_block")), F.least(F.col("whole") + 1, F.lit(2))))).alias("pass")).where("pass is not null").distinct()
     mine = Window.partitionBy("source").orderBy(place(seed + "-blocks", F.col("source"), F.col("block"), F.col("pass")), "pass", "block")
     b = b.withColumn("rank", F.row_number().over(mine))  # the permuted blocks of each source
@@ -121,8 +129,8 @@ def apply(docs: DataFrame, p: Plan) -> DataFrame:
     own = docs.withColumn("place_", place(p.seed, F.col("doc_id"))) if "place" not in docs.columns else docs.withColumn("place_", F.col("place"))
     more = F.coalesce((F.col("place_") <= F.col("cut")) | F.col("place_").eqNullSafe(F.col("extra")), F.lit(False))
     d = own.join(t, own.source.eqNullSafe(t.s_), "left").withColumn("copies", F.least(F.col("whole") + more.cast("int"), F.lit(2)))
-    block = F.substring("place_", 1, DIGITS[0])
-    d = d.withColumn("block_", F.when(F.col("place_") > F.col("cut"), F.substring("cut", 1, DIGITS[0])).otherwise(block)).withColumn("first_", F.when(F.col("whole") >= 1, block).otherwise(F.col("block_")))
+    block = F.substring("place_", 1, p.digits)
+    d = d.withColumn("block_", F.when(F.col("place_") > F.col("cut"), F.substring("cut", 1, p.digits)).otherwise(block)).withColumn("first_", F.when(F.col("whole") >= 1, block).otherwise(F.col("block_")))
     by = p.blocks.groupBy("source", "block").agg(F.max(F.when(F.col("pass") == 1, F.col("shard"))).alias("a"), F.max(F.when(F.col("pass") == 2, F.col("shard"))).alias("b"))
     one = by.select(F.col("source").alias("s1"), F.col("block").alias("b1"), F.col("a").alias("shard_1"))
     two = by.select(F.col("source").alias("s2"), F.col("block").alias("b2"), F.col("b").alias("shard_2"))
@@ -138,7 +146,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     sorts last; the same doc_id has the same place, so repeated rows are taken alike; a null doc_id
     has a place like any other. Documents are taken whole, once, twice or not at all. An empty table
     yields no rows; other columns aren't read. Reruns agree, as places are hashes of ids.
-    Sums are combined before their shuffles; a hot source is 256 blocks, 2^20 sub-blocks and one row of the plan.
+    Sums are combined before their shuffles; a hot source is some hundreds of blocks, each of 4,096 sub-blocks, and one row of the plan.
     """
     d = sized(docs, options.get("seed", "mix"))
     got = apply(d, plan(d, **options))
@@ -151,4 +159,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     cols = docs.columns
     d = apply(docs, p).where("copies > 0").select(*cols, F.posexplode(F.when(F.col("copies") == 2, F.array("shard_1", "shard_2")).otherwise(F.array("shard_1"))).alias("_copy", "_shard"))
     d = d.withColumn("_order", place(p.seed + "-shuffle", F.col("doc_id"), F.col("_copy")))
-    return d.repartition(p.shards, "_shard").sortWithinPartitions("_shard", "_order").select(*cols)
+    own = F.element_at(F.array(*map(F.lit, partition_keys(docs, p.shards))), F.col("_shard") + 1)
+    return d.repartition(p.shards, own).sortWithinPartitions("_shard", "_order").select(*cols)
+
+
+def partition_keys(df: DataFrame, n: int) -> list[int]:
+    """For each of n partitions a number that repartition(n, number) sends there, so that shards don't share partitions."""
+    ids = df.sparkSession.range(0, 40 * n + 1000).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    got = dict(ids.groupBy("p").agg(F.min("id")).collect())
+    return [got.get(k, 0) for k in range(n)]
