@@ -103,6 +103,17 @@ def test_backtracking_equals_merging(spec):
         assert c.encode_units(units) == c.merged(units)
 
 
+def test_pair_table_equals_merging(spec):
+    c, rnd = bpe.Codec(spec), random.Random(2)
+    every = sorted(c.form)
+    inner = [i for i in every if ord(c.form[i][-1]) < bpe.END]
+    for k in range(8000):
+        a, b = rnd.choice(inner[: 3000 if k % 2 else None]), rnd.choice(every[: 4000 if k % 3 else None])
+        if c.whole(a):
+            assert c.fits(a, b) == (c.merged(c.form[a] + c.form[b]) == [a, b])
+    assert all(c.whole(t) == (c.merged(c.form[t]) == [t]) for t in rnd.sample(every, 2000))
+
+
 def test_op2(spark):
     from tokenizers import Tokenizer
 
