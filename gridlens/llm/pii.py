@@ -1,11 +1,13 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 The patterns find values to protect. The corpus then tells how strongly a term near such a value
-reveals it: with N documents, n_t of them holding the term, n_e different contexts of the value and
-n_te of them with the term inside, the pointwise mutual information ln(n_te N / (n_t n_e)) is set
-against the value's own information ln(N / n_e). Terms over the lower threshold of that ratio are
-generalised, over the upper one removed, wherever they stand near the value. Copies of a text share
-their contexts, so they are no evidence of their own.
+reveals it: with n_e different contexts of the value, n_te of them with the term inside, n_t units
+that hold the term and N units in all, the pointwise mutual information ln(n_te N / (n_t n_e)) is set
+against the value's own information ln(N / n_e). Units are the value's contexts and, apart from them,
+different texts: n_t is n_te and the texts that hold the term, but not near the value; N is n_e and the
+texts without the value. Terms over the lower threshold of that ratio are generalised, over the upper
+one removed, wherever they stand near the value. Copies share their text, and near copies their
+contexts, so they are evidence neither for a term nor against it.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGITS = re.compile(r"[0-9]")
 BLOOM_BITS = 20
+COPY_BITS = 24
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -133,23 +136,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "xxhash64(cast(text as string)) th", "cast(text as string) text")
 
 
-def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_t): documents that hold each term. terms pass a filter of 2^20 bits, a fixed size, before they are counted; the exact join follows."""
-    size = 1 << BLOOM_BITS
-    slot = F.pmod(F.col("term"), F.lit(size))
-    words = terms.select(slot.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toArrow()
+def _filter_bits(hashes: DataFrame, name: str, size: int) -> np.ndarray:
+    """A bit for each slot of `size` that a hash falls into, packed by 64."""
+    slot = F.pmod(F.col(name), F.lit(size))
+    words = hashes.select(slot.alias("p")).groupBy(F.expr("cast(p div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("m")).toArrow()
     bits = np.zeros(size // 64, np.int64)
     bits[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return bits.view(np.uint64)
+
+
+def _texts_with(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, texts): different texts that hold each term. copied: the hashes (th) of texts that stand in several rows.
+
+    terms pass a filter of 2^20 bits, a fixed size, before they are counted; the exact join follows. Texts that a filter
+    of 2^24 bits knows to stand once are counted in their task; others go by (term, th) and count once.
+    """
+    size, room = 1 << BLOOM_BITS, 1 << COPY_BITS
+    bits = _filter_bits(terms, "term", size)
     if not bits.any():
-        return terms.select("term", F.lit(0).cast("long").alias("n_t"))
-    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+        return terms.select("term", F.lit(0).cast("long").alias("texts"))
+    sent = docs.sparkSession.sparkContext.broadcast((bits, _filter_bits(copied, "th", room)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt = sent.value
+        filt, again = sent.value
         known: dict[str, int] = {}
         for b in batches:
             total: dict[int, int] = {}
-            for t in b.column(0):
+            term, th = [], []
+            seen: set[int] = set()
+            for t, x in zip(b.column(0), b.column(1).to_pylist()):
+                if x in seen:
+                    continue
+                p = x % room
+                single = not int(again[p >> 6]) >> (p & 63) & 1
+                if not single:
+                    seen.add(x)
                 for w in {*_TERM.findall((t.as_py() or "").lower())}:
                     h = known.get(w)
                     if h is None:
@@ -160,12 +181,16 @@ def _documents_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         h = h if int(filt[p >> 6]) >> (p & 63) & 1 else -1
                         if len(w) < 40:
                             known[w] = h
-                    if h >= 0:
+                    if h >= 0 and single:
                         total[h] = total.get(h, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["term", "n"])
+                    elif h >= 0:
+                        term.append(h)
+                        th.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array([*total, *term], pa.int64()), pa.array([None] * len(total) + th, pa.int64()), pa.array([*total.values(), *[1] * len(term)], pa.int64())], ["term", "th", "n"])
 
-    counts = docs.selectExpr("cast(text as string) text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    return terms.join(counts, "term")
+    found = docs.selectExpr("cast(text as string) text", "xxhash64(cast(text as string)) th").mapInArrow(tidy(run), "term long, th long, n long")
+    once = found.groupBy("term", "th").agg(F.sum("n").alias("n")).select("term", F.when(F.col("th").isNull(), F.col("n")).otherwise(1).alias("n"))
+    return terms.join(once.groupBy("term").agg(F.sum("n").alias("texts")), "term")
 
 
 def reveal(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
@@ -177,10 +202,15 @@ def reveal(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float
     pairs = ctx.groupBy("entity", "term", "window").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     pairs = staged(pairs)
     n_e = ctx.groupBy("entity", "window").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_t = _documents_with(docs, pairs.select("term").distinct())
-    n_all = F.lit(base.count())
-    ratio = F.log(F.col("n_te") * n_all / (F.greatest("n_t", "n_te") * F.col("n_e"))) / F.log(n_all / F.col("n_e"))
-    shown = pairs.join(n_e.where(F.col("n_e") < n_all), "entity").join(n_t, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    texts_te = ctx.groupBy("entity", "term", "th").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("texts_te"))
+    texts_e = ctx.groupBy("entity", "th").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("texts_e"))
+    sizes = staged(base.groupBy("th").agg(F.count("*").alias("n")))
+    texts = _texts_with(docs, pairs.select("term").distinct(), sizes.where("n > 1").select("th"))
+    n_all = F.lit(sizes.count()) - F.col("texts_e") + F.col("n_e")
+    n_t = F.greatest(F.col("texts") - F.col("texts_te"), F.lit(0)) + F.col("n_te")
+    ratio = F.log(F.col("n_te") * n_all / (n_t * F.col("n_e"))) / F.log(n_all / F.col("n_e"))
+    every = pairs.join(texts_te, ["entity", "term"]).join(n_e.join(texts_e, "entity"), "entity").where(n_all > F.col("n_e"))
+    shown = every.join(texts, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
     spans = ctx.join(shown, ["entity", "term"]).select("doc_id", "th", (F.col("ratio") >= remove).alias("removed"), F.explode(F.transform(F.expr("sequence(0, size(at) div 2 - 1)"), lambda k: F.struct(F.get("at", (2 * k).cast("int")).alias("start"), F.get("at", (2 * k + 1).cast("int")).alias("end")))).alias("s"))
     per = spans.groupBy("doc_id", "th", "s.start", "s.end").agg(F.bool_or("removed").alias("removed"))
     return per.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))

@@ -234,6 +234,24 @@ def test_terms_that_reveal(spark):
     assert clean[100].text == text[100] and clean[100].n_chars == 30
 
 
+@pytest.mark.parametrize("ending", ["", " page {}"])
+def test_copies_are_no_evidence_against_a_term(spark, ending):
+    """A document that stands 1,000 times more, exactly or with another ending, counts as before; with the numbers of the finding."""
+    others = [(1000 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x some other text", "en", "s", 30) for i in range(3000)]
+    rows = [(i, f"{chr(97 + i) * 4} saw Zorbatron at jane@x.example.com with {chr(98 + i) * 5} and then others went away quietly", "en", "s", 60) for i in range(6)]
+    copies = [(10_000 + i, rows[0][1] + ending.format("".join(chr(97 + int(d)) for d in f"{i:04d}")), "en", "s", 60) for i in range(1000)]
+
+    def terms(docs):
+        found = pii.find(spark.createDataFrame(docs, DOCS)).where("spans like '%term%'").select("doc_id", "spans").collect()
+        return {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in found}
+
+    before, after = terms(rows + others), terms(rows + others + copies)
+    said = f"term:{rows[0][1].index('Zorbatron')}:{rows[0][1].index(' at ')}"
+    assert len(before) == 6 and said in before[0]
+    assert {k: v for k, v in after.items() if k < 10_000} == before and len(after) == 1006
+    assert all(v == before[0] for k, v in after.items() if k >= 10_000)
+
+
 def test_pii_hard_rows(spark, hard, none, wider):
     assert pii.find(wider(hard)).count() == 11 and {r.spans for r in pii.find(hard).collect()} == {""}
     same = pii.sanitise(hard)
