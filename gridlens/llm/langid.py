@@ -61,10 +61,11 @@ class Model:
     logp: np.ndarray  # (2 ** BITS, languages), float32
 
 
-def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 64, smoothing: float = 0.2) -> Model:
-    """Likelihoods from at most about per_lang labelled documents of each of the most_langs commonest languages.
+def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 256, smoothing: float = 0.2) -> Model:
+    """Likelihoods from at most about per_lang labelled documents of each language.
 
-    Both bounds are parameters. Learnt from are documents with a text and a non-null lang whose
+    Every lang value is learnt; a table with more than most_langs of them is refused with a ValueError, as a
+    model of that size (0.5 MB a language) would not fit the workers. Learnt from are documents with a text and a non-null lang whose
     crc32(doc_id as text) mod 3 isn't 1; a null doc_id counts as held out. The sample is a threshold
     on a hash of doc_id, so no rows of one language meet in a task; counts are added up by hashed
     feature in each task before their shuffle, and the table that reaches the driver has 2^17 cells a language.
@@ -72,7 +73,9 @@ def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 64, smoothing:
     rows = small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "cast(lang as string) lang", "cast(text as string) text").where(
         "lang is not null and text is not null and not coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, true)"
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_langs + 1).collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} lang values; none is dropped, so raise most_langs or clean the column")
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32))
@@ -80,23 +83,33 @@ def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 64, smoothing:
     sample = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(1 << BITS, np.int64) for k in langs}
+        total: dict[str, np.ndarray] = {}
+
+        def rows_of() -> Iterator[pa.RecordBatch]:
+            for k, v in total.items():
+                if (at := np.flatnonzero(v)).size:
+                    yield pa.RecordBatch.from_arrays([pa.array([langs.index(k)] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(v[at])], ["l", "f", "n"])
+            total.clear()
+
         for b in batches:
             for i, j in groups_of(b.column(1), 500_000):
                 lang, text = (b.column(k).slice(i, j - i).to_pylist() for k in (0, 1))
                 for k in set(lang):
+                    if k not in total and len(total) >= 64:
+                        yield from rows_of()
                     feats, _, _ = word_grams(code_points([t for t, x in zip(text, lang) if x == k])[0])
-                    total[k] += np.bincount(feats, minlength=1 << BITS)
-        for k, v in total.items():
-            if (at := np.flatnonzero(v)).size:
-                yield pa.RecordBatch.from_arrays([pa.array([langs.index(k)] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(v[at])], ["l", "f", "n"])
+                    total[k] = total.get(k, 0) + np.bincount(feats, minlength=1 << BITS)
+        yield from rows_of()
 
     got = sample.mapInArrow(tidy(count), "l int, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros((1 << BITS, len(langs)))
-    n[got.column("f").to_numpy(), got.column("l").to_numpy()] = got.column("n").to_numpy()
-    seen = max(1, int((n.sum(axis=1) > 0).sum()))
-    p = (n + smoothing) / (n.sum(axis=0) + smoothing * seen)
-    return Model(langs, np.log(p).astype(np.float32))
+    l, f, n = (got.column(k).to_numpy() for k in ("l", "f", "n"))
+    seen = max(1, len(np.unique(f)))
+    logp = np.empty((1 << BITS, len(langs)), np.float32)
+    for k in range(len(langs)):
+        own = np.zeros(1 << BITS)
+        own[f[l == k]] = n[l == k]
+        logp[:, k] = np.log((own + smoothing) / (own.sum() + smoothing * seen))
+    return Model(langs, logp)
 
 
 def em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: int = 25, settled: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +194,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
         m = Model(*held.value)
         for b in batches:
             texts = b.column(1)
-            for i, j in groups_of(texts, 400_000):
+            for i, j in groups_of(texts, 400_000 * 64 // max(64, len(m.langs))):
                 share = mixtures([t or "" for t in texts.slice(i, j - i).to_pylist()], m, penalty)
                 best = share.argmax(axis=1) if m.langs else np.zeros(j - i, int)
                 none = share.sum(axis=1) == 0
@@ -203,7 +216,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.25, penalty: float =
         m = Model(*held.value)
         for b in batches:
             texts = b.column(text)
-            for i, j in groups_of(texts, 400_000):
+            for i, j in groups_of(texts, 400_000 * 64 // max(64, len(m.langs))):
                 share = mixtures([t or "" for t in texts.slice(i, j - i).to_pylist()], m, penalty)
                 top = share.max(axis=1, initial=0)
                 part = b.slice(i, j - i)

@@ -50,6 +50,17 @@ def test_em_reaches_the_likeliest_proportions():
     assert abs(share[0, 0] - want) < 2e-3
 
 
+def test_every_language_is_learnt(spark):
+    letter = [chr(0x4E00 + 50 * k) for k in range(70)]
+    rows = [(1000 * k + i, " ".join(letter[k] * (1 + i % 3) for _ in range(8)), f"x{k:02d}", "s", 8) for k in range(70) for i in range(3 if k == 69 else 6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.fit(docs)
+    assert model.langs == [f"x{k:02d}" for k in range(70)]
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()} == {r[0]: r[2] for r in rows}
+    with pytest.raises(ValueError, match="more than 69 lang values"):
+        langid.fit(docs, most_langs=69)
+
+
 def test_no_leak_from_labels(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     m = langid.fit(docs)
