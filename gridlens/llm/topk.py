@@ -170,7 +170,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
         for b in batches:
             for blk, qs, tree in zip(b.column("block").to_pylist(), b.column("qs"), b.column("tree")):
                 qid, q, kth = pickle.loads(qs.as_py())
-                best, who = search(pickle.loads(tree.as_py()), qid, q, kth, k)
+                best, who = search(pickle.loads(tree.as_py()) if tree.is_valid else _EMPTY, qid, q, kth, k)
                 row, place = np.nonzero(best != NONE)
                 if first:
                     qs2 = pickle.dumps((qid, q, best[:, -1].copy()), 5)
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(who[row, place]), pa.array(best[row, place])], ["query_id", "vec_id", "score"])
 
-    seed = packed.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).join(trees, "shard").select("block", "qs", "tree")
+    seed = packed.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).join(trees, "shard", "left").select("block", "qs", "tree")  # few ids may leave a shard empty
     seeded = staged(seed.mapInArrow(lambda it: run(it, True), "block int, qs binary, found array<struct<query_id:long,vec_id:long,score:long>>"))
     rest = seeded.select("block", "qs", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(F.pmod("block", F.lit(shards)) != F.col("shard"))
     found = rest.join(trees, "shard").select("block", "qs", "tree").mapInArrow(lambda it: run(it, False), "query_id long, vec_id long, score long")
@@ -187,4 +187,5 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+_EMPTY = build(np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
 _FOUND = pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))

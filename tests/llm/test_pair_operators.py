@@ -108,6 +108,21 @@ def test_top_k_few_or_none(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_few_ids_often_repeated(spark):
+    """20 ids on 10 shards: some shards are empty, and blocks that start in one lose nothing."""
+    df = spark.range(20_000).selectExpr("id % 20 as vec_id", "array(cast(id % 97 as double), cast(id % 89 as double)) as embedding")
+    got = topk.top_k(df, k=5, query_every=1)
+    vecs = [(r.vec_id, np.array(r.embedding, np.int64) * 1024) for r in df.collect()]
+    ids, x = np.array([v for v, _ in vecs]), np.array([e for _, e in vecs])
+    want = []
+    for q in range(20):
+        first = min(tuple(e) for e in x[ids == q].tolist())
+        other = ids != q
+        best = sorted(zip((-(x[other] @ np.array(first))).tolist(), ids[other].tolist()))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_ball_tree_bounds_hold():
     rnd = np.random.default_rng(2)
     x = rnd.integers(-1000, 1000, (700, 5))
