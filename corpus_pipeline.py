@@ -15,7 +15,7 @@ from gridlens.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go; a missing lang is filled in."""
+    """Documents that are 'und' (no letter) go, those in a language not learnt stay (see langid.accept); a missing lang is filled in."""
     return langid.accept(docs, langid.fit(docs))
 
 

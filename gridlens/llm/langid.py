@@ -207,7 +207,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.25, penalty: float = 2.0) -> DataFrame:
-    """docs' rows, with their own columns, whose language is known: not 'und', and a share of at least `least`. A null lang becomes the prediction."""
+    """docs' rows, with their own columns, less those that are 'und': a null text, one without a letter, all where no language was learnt. A null lang becomes the prediction.
+
+    A share of at least `least` is asked for, too, but where at most 1 / least languages are learnt the largest
+    share always is. Shares compare the learnt languages with each other only: a text in one that wasn't learnt, or
+    letters at random, gets the nearest learnt language and stays.
+    """
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp))
     cols = docs.columns
     text, lang = cols.index("text"), cols.index("lang") if "lang" in cols else None
