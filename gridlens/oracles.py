@@ -104,6 +104,11 @@ _T: dict[str, str] = {
         WHERE (RESOURCEBID_SEQ, {_R}) NOT IN (SELECT (RESOURCEBID_SEQ, {_R}) FROM final)) WHERE k <= 4""",
     "others_name": f"""SELECT o.* EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {_N} ORDER BY (confidence IS NOT NULL) DESC, round(score, 9) DESC, RESOURCEBID_SEQ) AS k FROM top
         WHERE ({_N}, RESOURCEBID_SEQ) NOT IN (SELECT ({_N}, RESOURCEBID_SEQ) FROM final)) o LEFT JOIN (SELECT {_N}, count(*) AS n FROM final GROUP BY 1) f USING ({_N}) WHERE k <= greatest(0, 5 - coalesce(n, 0))""",
+    "otop": "SELECT * EXCLUDE (rank, up) FROM oranks WHERE rank <= 5",
+    "others_oid": """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY RESOURCEBID_SEQ ORDER BY round(score, 9) DESC, generator) AS k FROM otop
+        WHERE (RESOURCEBID_SEQ, generator) NOT IN (SELECT (RESOURCEBID_SEQ, generator) FROM ofinal)) WHERE k <= 4""",
+    "others_oname": """SELECT o.* EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY round(score, 9) DESC, RESOURCEBID_SEQ) AS k FROM otop
+        WHERE (generator, RESOURCEBID_SEQ) NOT IN (SELECT (generator, RESOURCEBID_SEQ) FROM ofinal)) o LEFT JOIN (SELECT generator, count(*) AS n FROM ofinal GROUP BY 1) f USING (generator) WHERE k <= greatest(0, 5 - coalesce(n, 0))""",
     "hist": "SELECT round(log10(1 / (1 - confidence)), 9) AS x FROM final WHERE confidence < 1",
     "ohist": "SELECT round(log10(1 / (1 - confidence)), 9) AS x FROM ofinal WHERE confidence < 1",
 }
@@ -114,6 +119,11 @@ def _candidates(others: str) -> str:
         LEFT JOIN (SELECT DISTINCT {_R}, total_curtailment_events FROM counts) c USING ({_R})"""
 
 
+def _outage_candidates(others: str) -> str:
+    return f"""SELECT u.*, total_outage_events FROM (SELECT *, 'final' AS match_source FROM ofinal UNION ALL BY NAME SELECT *, 'candidate' AS match_source FROM {others}) u
+        LEFT JOIN (SELECT generator, count(*) AS total_outage_events FROM merged GROUP BY 1) c USING (generator)"""
+
+
 def _hist(x: str, final: str) -> str:
     return f"""SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 40)), 39) ELSE 0 END AS BIGINT) AS bin, count(*) AS n, (SELECT count(*) FROM {final} WHERE confidence = 1) AS n_unambiguous
         FROM {x}, (SELECT min(x) AS lo, max(x) AS hi FROM {x}) GROUP BY 1"""
@@ -167,6 +177,8 @@ _LAST: dict[str, str] = {
     "curve_segments": "SELECT * FROM segments",
     "id_candidates": _candidates("others_id"),
     "name_candidates": _candidates("others_name"),
+    "outage_id_candidates": _outage_candidates("others_oid"),
+    "outage_name_candidates": _outage_candidates("others_oname"),
     "valid_ids": "SELECT RESOURCEBID_SEQ FROM final UNION SELECT RESOURCEBID_SEQ FROM top",
     "id_activity": 'SELECT RESOURCEBID_SEQ, start, "end" FROM wide',
     "id_attributes": "SELECT * FROM ids",
@@ -204,6 +216,7 @@ _HAS = {
 }
 _HAS["outage_top_candidates"] = _HAS["outage_scores"]
 _HAS["outage_final"] = [*_HAS["outage_scores"], "confidence"]
+_HAS["outage_id_candidates"] = _HAS["outage_name_candidates"] = _HAS["outage_final"]
 _HAS["id_candidates"] = _HAS["name_candidates"] = _HAS["curtailment_final"]
 
 

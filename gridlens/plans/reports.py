@@ -39,25 +39,26 @@ def _rest(best: DataFrame, every: DataFrame, by: str, what: str, room) -> DataFr
     known = best.select(F.col(f"`{by}`").alias("_by"), F.col(f"`{what}`").alias("_what"))
     left = every.join(known, (F.col(f"`{by}`") == F.col("_by")) & (F.col(f"`{what}`") == F.col("_what")), "left_anti")
     n = best.groupBy(F.col(f"`{by}`").alias("_by")).agg(F.count("*").alias("_best"))
-    w = Window.partitionBy(F.col(f"`{by}`")).orderBy(F.col("confidence").isNotNull().desc(), F.round("score", 9).desc(), F.col(f"`{what}`"))
+    sure = F.col("confidence") if "confidence" in every.columns else F.lit(None)  # outages' candidates have none
+    w = Window.partitionBy(F.col(f"`{by}`")).orderBy(sure.isNotNull().desc(), F.round("score", 9).desc(), F.col(f"`{what}`"))
     ranked = left.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= 5)
     return ranked.join(n, F.col(f"`{by}`") == F.col("_by"), "left").where(F.col("_place") <= room(F.coalesce("_best", F.lit(0)))).drop("_place", "_by", "_best")
 
 
-def candidates_by_id(best: DataFrame, every: DataFrame, events: DataFrame, seq: int | None = None) -> DataFrame:
-    """For one bid id or all: its final match and up to 4 other candidates, with the resource's event count."""
+def candidates_by_id(best: DataFrame, every: DataFrame, events: DataFrame, seq: int | None = None, res: str = RES, count: str = "total_curtailment_events") -> DataFrame:
+    """For one bid id or all: its final match and up to 4 other candidates, with the event count of the resource (column res)."""
     if seq is not None:
         best, every = best.where(F.col(SEQ) == seq), every.where(F.col(SEQ) == seq)
-    rows = best.withColumn("match_source", F.lit("final")).unionByName(_rest(best, every, SEQ, RES, lambda n: F.lit(4)).withColumn("match_source", F.lit("candidate")), allowMissingColumns=True)
-    return rows.join(events.select(RES, "total_curtailment_events").distinct(), RES, "left")
+    rows = best.withColumn("match_source", F.lit("final")).unionByName(_rest(best, every, SEQ, res, lambda n: F.lit(4)).withColumn("match_source", F.lit("candidate")), allowMissingColumns=True)
+    return rows.join(events.select(res, count).distinct(), res, "left")
 
 
-def candidates_by_name(best: DataFrame, every: DataFrame, events: DataFrame, name: str | None = None) -> DataFrame:
-    """For one resource name or all: its final match and others up to 5 in all."""
+def candidates_by_name(best: DataFrame, every: DataFrame, events: DataFrame, name: str | None = None, res: str = RES, named: str = NAME, count: str = "total_curtailment_events") -> DataFrame:
+    """For one resource name (column named) or all: its final match and others up to 5 in all."""
     if name is not None:
-        best, every = best.where(F.col(f"`{NAME}`") == name.strip()), every.where(F.col(f"`{NAME}`") == name.strip())
-    rows = best.withColumn("match_source", F.lit("final")).unionByName(_rest(best, every, NAME, SEQ, lambda n: F.greatest(F.lit(0), 5 - n)).withColumn("match_source", F.lit("candidate")), allowMissingColumns=True)
-    return rows.join(events.select(RES, "total_curtailment_events").distinct(), RES, "left")
+        best, every = best.where(F.col(f"`{named}`") == name.strip()), every.where(F.col(f"`{named}`") == name.strip())
+    rows = best.withColumn("match_source", F.lit("final")).unionByName(_rest(best, every, named, SEQ, lambda n: F.greatest(F.lit(0), 5 - n)).withColumn("match_source", F.lit("candidate")), allowMissingColumns=True)
+    return rows.join(events.select(res, count).distinct(), res, "left")
 
 
 def valid_ids(best: DataFrame, every: DataFrame) -> DataFrame:

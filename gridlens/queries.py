@@ -63,6 +63,11 @@ def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     return r.final_matches, r.top_candidates, reports.curtailment_event_counts(r.planned_partial, r.final_matches)
 
 
+def _outage_candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = _outage(spark, sf)
+    return r.final_matches, r.top_candidates, reports.outage_event_counts(r.outages, r.final_matches)
+
+
 def similar_ids(start_filter: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         wide, seq = _target(spark, sf)
@@ -110,6 +115,8 @@ _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "curve_segments": lambda s, d: curves.curve_segments(adapters.dam(s, d)),
     "id_candidates": lambda s, d: reports.candidates_by_id(*_candidates(s, d)),
     "name_candidates": lambda s, d: reports.candidates_by_name(*_candidates(s, d)),
+    "outage_id_candidates": lambda s, d: reports.candidates_by_id(*_outage_candidates(s, d), res="generator", count="total_outage_events"),
+    "outage_name_candidates": lambda s, d: reports.candidates_by_name(*_outage_candidates(s, d), res="generator", named="generator", count="total_outage_events"),
     "valid_ids": lambda s, d: reports.valid_ids(*_candidates(s, d)[:2]),
     "id_activity": lambda s, d: features.id_activity(_wide(s, d)),
     "id_attributes": _ids,

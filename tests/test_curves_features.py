@@ -128,6 +128,17 @@ def test_candidates(spark):
     assert reports.valid_ids(best, top).count() == 9 and reports.valid_names(best, top).count() == 2
 
 
+def test_outage_candidates(spark):
+    best = spark.createDataFrame([("G1", 1, 3.0, 0.5)], f"generator string, {S.SEQ} long, score double, confidence double")
+    top = spark.createDataFrame([("G1", 1, 3.0)] + [(f"G{k}", 1, float(k)) for k in range(2, 9)] + [("G1", k, 1.0) for k in range(10, 18)], f"generator string, {S.SEQ} long, score double")
+    events = spark.createDataFrame([("G1", 7)], "generator string, total_outage_events long")
+    keys = {"res": "generator", "count": "total_outage_events"}
+    got = reports.candidates_by_id(best, top, events, 1, **keys).collect()
+    assert sorted((r.generator, r.match_source, r.confidence) for r in got) == [("G1", "final", 0.5)] + [(f"G{k}", "candidate", None) for k in range(5, 9)]
+    named = reports.candidates_by_name(best, top, events, " G1 ", named="generator", **keys).collect()
+    assert sorted(r[S.SEQ] for r in named) == [1, 10, 11, 12, 13] and {r.total_outage_events for r in named} == {7}
+
+
 def test_histogram(spark):
     f = _final(spark, [("A", "a", 1.0, 1, 1.0, 1, 0.0, 1.0, c) for c in (0.0, 0.9, 0.99, 1.0, 1.0)])
     got = {r.bin: (r.n, r.n_unambiguous) for r in reports.confidence_histogram(f).collect()}
