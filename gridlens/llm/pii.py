@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,17 +86,21 @@ def term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.lower().encode("utf-8", "surrogatepass")) >> 1
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int, chars: int = 200) -> list[tuple[int, int, int, list[int]]]:
-    """(entity, term, context, positions) for the terms among the `reach` words on either side of each value.
+def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int, list[int]]]:
+    """(entity, term, context, positions) for the terms among the `reach` words on either side of each value, however far off they stand.
 
-    A side is read `chars` characters far at most; that bounds a context, not the text.
+    The text's terms are found in one pass.
     """
+    starts, ends = array("q"), array("q")
+    for m in _TERM.finditer(text) if spans else ():
+        starts.append(m.start())
+        ends.append(m.end())
     found: dict[tuple[int, int, int], list[int]] = {}
     taken = [(s, e) for s, _, e in spans]
     for s, kind, e in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[s:e].lower()}".encode("utf-8", "surrogatepass")) >> 1
-        before = [(m.start(), m.end()) for m in _TERM.finditer(text, max(0, s - chars), s)][-reach:]
-        after = [(m.start(), m.end()) for m in _TERM.finditer(text, e, min(len(text), e + chars))][:reach]
+        p, n = bisect_right(ends, s), bisect_left(starts, e)
+        before, after = ([*zip(starts[i:j], ends[i:j])] for i, j in ((max(0, p - reach), p), (n, n + reach)))
         near = [(a, b) for a, b in before + after if not any(a < y and x < b for x, y in taken)]
         window = xxhash.xxh64_intdigest(" ".join(text[a:b].lower() for a, b in near).encode("utf-8", "surrogatepass")) >> 1
         for a, b in near:

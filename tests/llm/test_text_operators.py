@@ -273,6 +273,15 @@ def test_pii_hard_rows(spark, hard, none, wider):
     assert sorted(r.text for r in pii.sanitise(twice).collect()) == ["mail [EMAIL]"] * 3 + ["no mail"]
 
 
+def test_contexts_reach_over_gaps_of_any_length():
+    gap = " 12 ## " * 100
+    text = f"far Zorbatron{gap}a@b.cd{gap}Quibble end"
+    found = pii.contexts(text, pii.base_spans(text), 5)
+    assert {text[at[0] : at[1]] for _, _, _, at in found} == {"far", "Zorbatron", "Quibble", "end"}
+    text = "x" * 300 + " at a@b.cd"  # a word over the old edge stays whole
+    assert [at for _, _, _, at in pii.contexts(text, pii.base_spans(text), 5)] == [[0, 300]]
+
+
 def test_overlapping_spans_become_one():
     assert pii.masked("call +4111 1111 1111 1111 now", None).count("[") == 1
     assert pii.masked("x", [{"start": 0, "end": 1, "removed": True}]) == "" and pii.masked("plain", None) == "plain"
