@@ -1,10 +1,12 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
-Vectors are dealt to shards of about shard_rows by a hash of their id, so copies of one vector
-don't meet in one shard by force. Each shard becomes one row with its packed tree. Queries are
-packed into blocks. A first pass searches each block in one shard; the k-th score of each query
-found there goes with the block to all other shards, where nodes come in the order of their upper
-bound q.c + |q| r and are cut as soon as no query of the block can gain from them.
+Equal rows (id and vector) are one class with a count, made before anything else is shuffled.
+Classes are dealt to shards of about shard_rows by a hash of id and vector, so neither the copies of
+a vector nor the rows of an id meet in one shard by force. Each shard becomes one row with its
+packed tree. Queries are packed into blocks. A block is searched in waves of shards, first one, then
+a few, then all others; after each wave the k-th score that all its shards together gave goes on
+with the block. In a shard, nodes come in the order of their upper bound q.c + |q| r and are cut as
+soon as no query of the block can gain from them.
 """
 
 from __future__ import annotations
@@ -17,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gridlens.llm.common import staged
+from gridlens.llm.common import staged, tidy
 
 NONE = np.iinfo(np.int64).min
 LEAF = 64
@@ -32,10 +33,12 @@ def compact(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> dict:
-    """Nodes in depth-first order; node n covers rows lo[n]:hi[n]; kids[n] are its children or -1."""
+def build(ids: np.ndarray, x: np.ndarray, times: np.ndarray | None = None, key: np.ndarray | None = None) -> dict:
+    """Nodes in depth-first order; node n covers rows lo[n]:hi[n]; kids[n] are its children or -1. times: how many rows each one stands for; key: a hash of each."""
+    times = np.ones(len(ids), np.int64) if times is None else times
+    key = np.zeros(len(ids), np.int64) if key is None else key
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    ids, x, times, key = ids[order], x[order], times[order], key[order]
     f = x.astype(np.float64)
     perm = np.arange(len(ids))
     lo, hi, kids, centre, radius = [], [], [], [], []
@@ -58,7 +61,7 @@ def build(ids: np.ndarray, x: np.ndarray) -> dict:
 
     if len(ids):
         node(0, len(ids))
-    return {"ids": ids[perm], "x": compact(x[perm]), "lo": np.array(lo), "hi": np.array(hi), "kids": kids, "c": np.array(centre, np.float64), "r": np.array(radius)}
+    return {"ids": ids[perm], "x": compact(x[perm]), "times": times[perm], "key": key[perm], "lo": np.array(lo), "hi": np.array(hi), "kids": kids, "c": np.array(centre, np.float64), "r": np.array(radius)}
 
 
 def dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -73,19 +76,21 @@ def dot(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ik,jk->ij", q.astype(np.int64), x.astype(np.int64))
 
 
-def search(tree: dict, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the best k rows for each query that reach kth; unused places hold NONE."""
-    best, who = np.full((len(qid), k), NONE), np.zeros((len(qid), k), np.int64)
+def search(tree: dict, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int, qkey: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, ids, times) of the best k classes for each query that reach kth; unused places hold NONE. A query's own row is left out of its class."""
+    best, who, times = np.full((len(qid), k), NONE), np.zeros((len(qid), k), np.int64), np.zeros((len(qid), k), np.int64)
     kth = kth.copy()
     if not len(tree["lo"]):
-        return best, who
+        return best, who, times
+    qkey = np.zeros(len(qid), np.int64) if qkey is None else qkey
     f = q.astype(np.float64)
     norm = np.sqrt((f**2).sum(axis=1))
     d = min(f.shape[1], tree["c"].shape[1])
 
     def bound(n: int, at: np.ndarray) -> np.ndarray:
-        b = f[at, :d] @ tree["c"][n, :d] + norm[at] * tree["r"][n]
-        return b + 1e-6 * (1 + np.abs(b))
+        c, reach = tree["c"][n, :d], norm[at] * tree["r"][n]
+        # the slack follows the size of the terms, as their sum may cancel out
+        return f[at, :d] @ c + reach + 1e-9 * (1 + np.abs(f[at, :d]) @ np.abs(c) + reach)
 
     live = np.arange(len(qid))
     heap: list[tuple[float, int, np.ndarray, np.ndarray]] = []
@@ -110,17 +115,24 @@ def search(tree: dict, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int)
             z = min(a + 4 * LEAF, tree["hi"][n])
             s = dot(q[at], tree["x"][a:z])
             ids = np.broadcast_to(tree["ids"][a:z], s.shape)
-            s = np.where((ids == qid[at][:, None]) | (s < kth[at][:, None]), NONE, s)
+            m = np.broadcast_to(tree["times"][a:z], s.shape)
+            own = (ids == qid[at][:, None]) & (tree["key"][a:z][None, :] == qkey[at][:, None])
+            if own.any():
+                m = m - own
+            s = np.where((m == 0) | (s < kth[at][:, None]), NONE, s)
             use = (s != NONE).any(axis=1)
             if not use.any():
                 continue
             rows = at[use]
-            all_s = np.concatenate([best[rows], s[use]], axis=1)
-            all_i = np.concatenate([who[rows], ids[use]], axis=1)
-            top = np.lexsort((all_i, -np.maximum(all_s, NONE + 1)), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(all_s, top, 1), np.take_along_axis(all_i, top, 1)
+            best[rows], who[rows], times[rows] = top_of(np.concatenate([best[rows], s[use]], axis=1), np.concatenate([who[rows], ids[use]], axis=1), np.concatenate([times[rows], m[use]], axis=1), k)
             kth[rows] = np.maximum(kth[rows], best[rows, -1])
-    return best, who
+    return best, who, times
+
+
+def top_of(score: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row, ties by id."""
+    top = np.lexsort((ids, -np.maximum(score, NONE + 1)), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, top, 1) for x in (score, ids, times))
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -134,58 +146,83 @@ def _matrix(col: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, shard_rows: int = 2048, block_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, shard_rows: int = 2048, block_rows: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", second_wave: int = 8) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best of all other rows, ties to the smaller id.
 
     Queries are rows whose id is divisible by query_every. Components become floor(scale * x). Rows
     with a null id or vector, or a null or non-finite component take no part. A shorter vector counts as
-    padded by zeros. Repeated rows are candidates each; all rows of the query's id are its own, and a
-    repeated query id is searched once, with its smallest vector. Fewer candidates than k: all of them.
-    An empty table yields no rows; other columns aren't read. Scores must fit a long. Trees and blocks are
+    padded by zeros. Repeated rows are candidates each, other rows of the query's id as well; only the query's own row is left out, and
+    a row that stands m times among the queries has its results m times. Fewer candidates than k: all of them.
+    An empty table yields no rows; other columns aren't read; long vectors are read whole. Scores must fit a long. Trees and blocks are
     rows of fixed size in the shared folder; each (block, shard) is one unit of work, and a query's
     candidates are cut to k in each task before they meet.
     """
-    spark = vectors.sparkSession
     x = F.col("e").cast("array<double>")
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     ok = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("e")).where(F.col("id").isNotNull() & F.col("e").isNotNull() & ~F.coalesce(F.exists(x, bad), F.lit(False)))
     v = ok.select("id", F.transform(x, lambda a: F.floor(a * scale).cast("long")).alias("v"))
-    n = ok.count()
-    shards, queries = max(1, -(-n // shard_rows)), v.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-n // (query_every * block_rows)))
+    classes = staged(v.groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("key", F.xxhash64("id", "v")))
+    n, n_queries = classes.agg(F.count("*"), F.count_if(F.col("id") % query_every == 0)).first()
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
+    queries = classes.where(F.col("id") % query_every == 0)
 
     def pack_tree(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.table({"shard": [key[0].as_py()], "tree": [pickle.dumps(build(t.column("id").to_numpy(), _matrix(t.column("v"))), 5)]}, schema=pa.schema([("shard", pa.int32()), ("tree", pa.binary())]))
+        ids, times, keys = (t.column(c).to_numpy() for c in ("id", "times", "key"))
+        return pa.table({"shard": [key[0].as_py()], "tree": [pickle.dumps(build(ids, _matrix(t.column("v")), times, keys), 5)]}, schema=pa.schema([("shard", pa.int32()), ("tree", pa.binary())]))
 
     def pack_block(key: tuple, t: pa.Table) -> pa.Table:
-        ids, q = t.column("id").to_numpy(), compact(_matrix(t.column("v")))
-        b = key[0].as_py()
-        return pa.table({"block": [b], "qs": [pickle.dumps((ids, q, np.full(len(ids), NONE)), 5)]}, schema=pa.schema([("block", pa.int32()), ("qs", pa.binary())]))
+        ids, times, keys = (t.column(c).to_numpy() for c in ("id", "times", "key"))
+        empty = [np.full((len(ids), k), NONE), np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64)]
+        return pa.table({"block": [key[0].as_py()], "qs": [pickle.dumps((ids, keys, times, compact(_matrix(t.column("v"))), np.full(len(ids), NONE)), 5)], "best": [pickle.dumps(empty, 5)]}, schema=pa.schema([("block", pa.int32()), ("qs", pa.binary()), ("best", pa.binary())]))
 
-    deal = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    trees = staged(v.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInArrow(pack_tree, "shard int, tree binary"))
-    packed = queries.withColumn("block", deal(blocks, 2)).groupBy("block").applyInArrow(pack_block, "block int, qs binary")
+    deal = lambda m, seed: F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(m)).cast("int")
+    trees = staged(classes.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInArrow(pack_tree, "shard int, tree binary"))
+    state = staged(queries.withColumn("block", deal(blocks, 2)).groupBy("block").applyInArrow(pack_block, "block int, qs binary, best binary"))
 
-    def run(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, qs, tree) -> (block, best) of that shard."""
         for b in batches:
             for blk, qs, tree in zip(b.column("block").to_pylist(), b.column("qs"), b.column("tree")):
-                qid, q, kth = pickle.loads(qs.as_py())
-                best, who = search(pickle.loads(tree.as_py()) if tree.is_valid else _EMPTY, qid, q, kth, k)
-                row, place = np.nonzero(best != NONE)
-                if first:
-                    qs2 = pickle.dumps((qid, q, best[:, -1].copy()), 5)
-                    yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([qs2]), pa.array([[dict(zip(("query_id", "vec_id", "score"), f)) for f in zip(qid[row].tolist(), who[row, place].tolist(), best[row, place].tolist())]], _FOUND)], ["block", "qs", "found"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(who[row, place]), pa.array(best[row, place])], ["query_id", "vec_id", "score"])
-
-    seed = packed.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int")).join(trees, "shard", "left").select("block", "qs", "tree")  # few ids may leave a shard empty
-    seeded = staged(seed.mapInArrow(lambda it: run(it, True), "block int, qs binary, found array<struct<query_id:long,vec_id:long,score:long>>"))
-    rest = seeded.select("block", "qs", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(F.pmod("block", F.lit(shards)) != F.col("shard"))
-    found = rest.join(trees, "shard").select("block", "qs", "tree").mapInArrow(lambda it: run(it, False), "query_id long, vec_id long, score long")
-    found = found.unionByName(seeded.select(F.explode("found").alias("f")).select("f.*"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-_EMPTY = build(np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
-_FOUND = pa.list_(pa.struct([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]))
+                qid, qkey, _, q, kth = pickle.loads(qs.as_py())
+                got = search(pickle.loads(tree.as_py()), qid, q, kth, k, qkey)
+                use = (got[0] != NONE).any(axis=1)
+                if use.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([pickle.dumps((np.flatnonzero(use), *(x[use] for x in got)), 5)], pa.binary())], ["block", "found"])
+
+    def merge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block's results so far and those of a wave: the best of both, and the k-th scores they give."""
+        qid, qkey, times, q, kth = pickle.loads(left.column("qs")[0].as_py())
+        best = pickle.loads(left.column("best")[0].as_py())
+        for f in right.column("found"):
+            rows, *got = pickle.loads(f.as_py())
+            for x, y in zip(best, top_of(*(np.concatenate([x[rows], y], axis=1) for x, y in zip(best, got)), k)):
+                x[rows] = y
+        return pa.table({"block": left.column("block"), "qs": [pickle.dumps((qid, qkey, times, q, np.maximum(kth, best[0][:, -1])), 5)], "best": [pickle.dumps(best, 5)]}, schema=left.schema)
+
+    done = 0
+    for upto in sorted({1, min(1 + second_wave, shards), shards}):
+        # a block begins with its own shard, so that the waves spread over all of them
+        wave = state.select("block", "qs", F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("step")).withColumn("shard", F.pmod(F.col("block") + F.col("step"), F.lit(shards)).cast("int"))
+        found = wave.join(trees, "shard").select("block", "qs", "tree").mapInArrow(tidy(run), "block int, found binary")
+        state = staged(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(merge, "block int, qs binary, best binary"))
+        done = upto
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes become rows again: a candidate class as many as there is room for, a query class its number."""
+        for b in batches:
+            for qs, best in zip(b.column("qs"), b.column("best")):
+                qid, _, many, _, _ = pickle.loads(qs.as_py())
+                score, ids, times = pickle.loads(best.as_py())
+                upto = np.minimum(np.cumsum(np.where(score != NONE, times, 0), axis=1), k)
+                copies = np.diff(upto, axis=1, prepend=0)
+                row, place = np.nonzero(copies)
+                c = copies[row, place]
+                first = np.repeat(upto[row, place] - c, c)
+                rank = first + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + 1
+                row, place = np.repeat(row, c), np.repeat(place, c)
+                for a in range(0, len(row), 4096):  # a hot query class is handed on in pieces
+                    r, p, m = row[a : a + 4096], place[a : a + 4096], many[row[a : a + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(rank[a : a + 4096].astype(np.int32)), pa.array(ids[r, p]), pa.array(score[r, p]), pa.array(m)], ["query_id", "rank", "vec_id", "score", "many"])
+
+    rows = state.select("qs", "best").mapInArrow(tidy(spread), "query_id long, rank int, vec_id long, score long, many long")
+    return rows.withColumn("many", F.explode(F.sequence(F.lit(1).cast("long"), "many"))).select("query_id", "rank", "vec_id", "score")

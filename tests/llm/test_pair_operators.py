@@ -76,11 +76,12 @@ def test_whole_pages_table(spark):
 # -- top-k --------------------------------------------------------------------------------------
 def brute_top(vecs, k, every, scale):
     ok = [(i, np.floor(scale * np.array(v, float)).astype(object)) for i, v in vecs if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, v in {q: v for q, v in sorted(ok, key=lambda x: list(x[1]), reverse=True) if q % every == 0}.items():
-        s = sorted((-int(sum(a * b for a, b in zip(v, w))), i) for i, w in ok if i != q)[:k]
-        out |= {(q, r + 1, i, -m) for r, (m, i) in enumerate(s)}
-    return out
+    out = []
+    for n, (q, v) in enumerate(ok):
+        if q % every == 0:
+            s = sorted((-int(sum(a * b for a, b in zip(v, w))), i) for j, (i, w) in enumerate(ok) if j != n)[:k]
+            out += [(q, r + 1, i, -m) for r, (m, i) in enumerate(s)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("kind", ["random", "clusters", "copies", "hard"])
@@ -99,7 +100,18 @@ def test_top_k_equals_brute_force(spark, wider, kind):
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
     got = topk.top_k(wider(df), k=7, query_every=10, shard_rows=90, block_rows=8)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]
-    assert {tuple(r) for r in got.collect()} == brute_top(vecs, 7, 10, 1024)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top(vecs, 7, 10, 1024)
+
+
+def test_top_k_with_repeated_ids_and_rows(spark):
+    """Rows of a query's id are candidates but for its own row, and a repeated query is answered each time."""
+    rnd = random.Random(4)
+    vecs = [(rnd.choice([0, 10, 20, 3, 7]), [float(rnd.randint(-2, 2)) for _ in range(2)]) for _ in range(150)] + [(78, [1.0, 1.0])]
+    for shard_rows in (2, 40, 5000):
+        got = topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<float>"), k=6, query_every=10, shard_rows=shard_rows, block_rows=4, second_wave=3)
+        assert sorted(tuple(r) for r in got.collect()) == brute_top(vecs, 6, 10, 1024)
+    three = spark.createDataFrame([(1200, [1.0])] * 3 + [(78, [2.0])], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id, r.rank) for r in topk.top_k(three, shard_rows=2).collect()) == sorted([(78, 1), (1200, 2), (1200, 3)] * 3)
 
 
 def test_top_k_few_or_none(spark):
@@ -110,17 +122,16 @@ def test_top_k_few_or_none(spark):
 
 def test_top_k_few_ids_often_repeated(spark):
     """20 ids on 10 shards: some shards are empty, and blocks that start in one lose nothing."""
-    df = spark.range(20_000).selectExpr("id % 20 as vec_id", "array(cast(id % 97 as double), cast(id % 89 as double)) as embedding")
-    got = topk.top_k(df, k=5, query_every=1)
-    vecs = [(r.vec_id, np.array(r.embedding, np.int64) * 1024) for r in df.collect()]
-    ids, x = np.array([v for v, _ in vecs]), np.array([e for _, e in vecs])
+    df = spark.range(20_000).selectExpr("id % 20 as vec_id", "array(cast(id % 7 as double), cast(id % 9 as double)) as embedding")
+    got = topk.top_k(df, k=5, query_every=1, shard_rows=40)
+    x = np.array([(r.vec_id, *r.embedding) for r in df.collect()], np.int64)
     want = []
-    for q in range(20):
-        first = min(tuple(e) for e in x[ids == q].tolist())
-        other = ids != q
-        best = sorted(zip((-(x[other] @ np.array(first))).tolist(), ids[other].tolist()))[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in got.collect()) == want
+    rows_of = Counter(map(tuple, x.tolist()))
+    for (q, *v), times in rows_of.items():
+        every = sorted((-1024 * 1024 * (c[1] * v[0] + c[2] * v[1]), c[0], m - (c == (q, *v))) for c, m in rows_of.items())
+        best = [(s, i) for s, i, m in every for _ in range(min(m, 5))][:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)] * times
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
 def test_ball_tree_bounds_hold():
