@@ -39,21 +39,21 @@ s{k + 1} AS (
 OP6 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null') || ':' || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)) AS place FROM documents),
 a AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
   FROM d GROUP BY source),
 b AS (
-  SELECT *, 2 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total,
-         CAST(coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS given,
-         CAST(sum(w) OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w
-  FROM a),
+  SELECT *, 2 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total, row_number() OVER o AS pos,
+         CAST(coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS given,
+         CAST(sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS left_w
+  FROM a WINDOW o AS (ORDER BY 2.0 * source_size / w, source NULLS LAST)),
 f AS (SELECT *, (150 * total - 100 * given) * w <= 100 * cap * left_w AS free FROM b),
-g AS (SELECT given AS given0, left_w AS left0 FROM f WHERE free ORDER BY given, left_w DESC LIMIT 1),
+g AS (SELECT pos AS pos0, given AS given0, left_w AS left0 FROM f WHERE free ORDER BY pos LIMIT 1),
 t AS (
   SELECT source, source_size,
-         CASE WHEN given >= given0 THEN (CAST(1.5 AS DOUBLE) * total - given0) * w / left0 ELSE CAST(cap AS DOUBLE) END AS target
+         CASE WHEN pos >= pos0 THEN (CAST(1.5 AS DOUBLE) * total - given0) * w / left0 ELSE CAST(cap AS DOUBLE) END AS target
   FROM f LEFT JOIN g ON true),
 u AS (SELECT *, CAST(floor(target / greatest(source_size, 1)) AS INTEGER) AS whole FROM t),
 r AS (SELECT *, target - whole * source_size AS rest FROM u),

@@ -202,6 +202,38 @@ def test_mix_meets_targets(spark):
     assert (again.taken_x == again.taken_y).all() and (again.shard_1_x.fillna(-1) == again.shard_1_y.fillna(-1)).all()
 
 
+def test_mix_with_repeated_and_null_ids(spark):
+    """Rows of one id are documents of their own, so targets are met however many there are; and ranks from many tasks' parts are the same."""
+    for seed in range(1):
+        rnd = random.Random(seed)
+        docs = [(rnd.choice([None, 1, 2]), " ".join("w" * rnd.randint(1, 20)) if rnd.random() < 0.5 else "same text of five words", None, rnd.choice(["a", "b", "b", None]), 1) for _ in range(300)]
+        df = spark.createDataFrame([(d, t and " ".join(t), a, s, n) if t and " " not in t else (d, t, a, s, n) for d, t, a, s, n in docs], DOCS).repartition(3)
+        got = mixing.mix(df).toPandas().assign(source=lambda g: g.source_size)
+        want = fill({s: int(n) for s, n in df.select("source", mixing.n_words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n")).collect()})
+        for n, g in got.groupby("source_size"):
+            assert abs(g.taken.sum() - g.target.iloc[0]) <= 20 and any(abs(g.target.iloc[0] - t) < 1e-6 for t in want.values())
+        assert abs(got.taken.sum() - sum(want.values())) <= 40
+        spread = mixing.mix(df, spread=1).toPandas()
+        key = ["doc_id", "size", "source_size", "target", "taken", "shard_1", "shard_2"]
+        assert rows(spread, key) == rows(got, key)
+        out = Counter(map(tuple, mixing.mixed(df).collect()))
+        taken = Counter({(s, z): 0 for s, z in zip(got.source_size, got["size"])})
+        assert sum(out.values()) == int((got.taken / got["size"].clip(lower=1)).sum()) and taken
+    same = spark.createDataFrame([(None, "one two three four five", None, s, 1) for s in "abc" for _ in range(20)], DOCS)
+    got = mixing.mix(same).toPandas()
+    assert all(g.taken.sum() == pytest.approx(g.target.iloc[0], abs=5) for _, g in got.groupby("target"))
+
+
+def test_sources_without_words_get_nothing(spark, duck):
+    df = spark.createDataFrame([(i, t, None, s, 1) for i, (t, s) in enumerate([("", "a"), (None, "b"), ("one two", "c"), ("x y z", "d"), (None, None)])], DOCS)
+    got = mixing.mix(df).toPandas()
+    assert (got[got.source_size == 0][["target", "taken"]] == 0).all().all()
+    duck.execute("CREATE SCHEMA IF NOT EXISTS few")
+    duck.register("few_docs", df.toPandas())
+    duck.execute("CREATE OR REPLACE TABLE few.documents AS SELECT CAST(doc_id AS BIGINT) doc_id, CAST(text AS VARCHAR) AS text, CAST(source AS VARCHAR) AS source FROM few_docs")
+    assert rows(got) == rows(duck.execute(O["op6_mixing"].replace("FROM documents", "FROM few.documents")).df())
+
+
 def test_tree_deals_exact_block_counts(spark):
     docs = mixing.sized(spark.createDataFrame([(i, "a b c", None, f"s{i % 5}", 5) for i in range(3000)], DOCS))
     p = mixing.plan(docs, shards=8)
@@ -224,7 +256,8 @@ def test_draws_follow_the_hypergeometric(spark):
 
 
 def test_mixing_hard_rows(hard, none, wider):
-    got = mixing.mix(wider(hard).drop("size", "place", "target")).collect()
+    assert mixing.mixed(wider(hard)).columns == wider(hard).columns
+    got = mixing.mix(wider(hard)).collect()
     assert len(got) == 11 and all(0 <= r.taken <= 2 * r.size for r in got)
     assert mixing.mix(none).count() == mixing.mixed(none).count() == 0
     out = mixing.mixed(hard)
