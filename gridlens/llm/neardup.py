@@ -7,9 +7,11 @@ At the planned depth nodes are small and their sets are compared with each other
 Independent trees are repeated until the target recall is met. Paths depend on the set alone, so
 every document walks its trees by itself, and one exchange brings the nodes together.
 
-Sets that are equal are one class from the start. What the sketches let pass forms groups, which
-hold every linked pair; each group is then judged on its full sets, and the exact links' connected
-components are the result. Nothing is emitted by pair: nodes and groups give each member a root.
+Sets that are equal are one class from the start, with a number of its own. What the sketches let pass
+forms groups, which hold every linked pair; each group is then judged on its full sets, and the exact
+links' connected components are the result. A large group is cut into blocks: each block is judged with a
+few pivots of its group, which joins most of it, and who is left is judged against all blocks.
+Nothing is emitted by pair: nodes and groups give each member a root.
 """
 
 from __future__ import annotations
@@ -254,7 +256,7 @@ def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
                 break
             if (lab[i:i2] == lab[i]).all() and (lab[j:j2] == lab[i]).all():
                 continue
-            inter = np.zeros((i2 - i, j2 - j), np.float32)
+            inter = np.zeros((i2 - i, j2 - j), np.int64)
             for c in range(0, width, 8192):
                 def dense(a: int, b: int) -> np.ndarray:
                     w, t = who[start[a] : start[b]], term[start[a] : start[b]]
@@ -264,7 +266,7 @@ def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
                     return m
 
                 left = dense(i, i2)
-                inter += left @ (left if i == j else dense(j, j2)).T
+                inter += (left @ (left if i == j else dense(j, j2)).T).astype(np.int64)  # at most 8,192 by chunk, so exact
             hit = 100 * inter >= percent * (n[i:i2, None] + n[None, j:j2] - inter)
             for r in np.flatnonzero(hit.any(axis=1)):
                 labs = np.unique(np.append(lab[j:j2][hit[r]], lab[i + r]))
@@ -276,11 +278,12 @@ def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def judge_groups(t: pa.Table, percent: int) -> pa.Table:
-    """The groups of one task: roots by exact links on full sets."""
+    """The groups of one task: roots by exact links on full sets. A set that comes twice counts once."""
     group, v = t.column("c").to_numpy(), t.column("v").to_numpy()
     blobs = t.column("set")
     a, b = [], []
-    o = np.argsort(group, kind="stable")
+    o = np.lexsort((v, group))
+    o = o[np.append(True, (group[o][1:] != group[o][:-1]) | (v[o][1:] != v[o][:-1]))] if len(o) else o
     for x, y in zip(*_runs(group[o])):
         at = o[x : x + y]
         if y > 1:
@@ -293,37 +296,18 @@ def judge_groups(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": ids[ids != root], "b": root[ids != root]})
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, heavy: int = 3_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, th (a hash of the text).
+PIVOTS = 4
+TASK_BYTES = 32_000_000  # of sets or nodes that meet in one task, about
 
-    Documents are linked if 100 * intersection >= percent * union of their sets of `words`-word shingles
-    (A-Z lower-cased). component_id is the smallest doc_id that links reach, kept whether it is the
-    document's own. A text of fewer words is one shingle; a null or empty one has none and is linked
-    with nothing. Equal sets are one class, so a third of all rows may be copies; repeated rows are
-    equal sets. A null doc_id is in its class, but never a component_id; a class of nulls alone is
-    compared with nothing: component_id null, kept. Rows that share a doc_id have each their own set.
-    An empty table yields no rows; other columns aren't read.
 
-    recall is the probability that a pair at the threshold meets in a tree; more similar ones meet more often, and
-    pairs of one group meet anyhow. A group of over `heavy` shingles is cut into blocks, and each pair of blocks is judged by itself.
-    """
+def judged(docs: DataFrame, groups: DataFrame, classes: DataFrame, words: int, percent: int, heavy: int, members: int) -> DataFrame:
+    """Edges (a, b) between classes by exact links inside groups (v, c). The sets come from the classes' representatives' texts."""
     spark = docs.sparkSession
-    parts = buckets(spark)
-    similarity = percent / 100
-    rows = staged(profile(docs, words))
-    classes = staged(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")))
-    depth, trees = schedule(classes.count(), recall, similarity)
-    expected = SKETCH * (similarity + (1 - similarity) / 16)
-    least = int(expected - 5 * math.sqrt(expected * (1 - expected / SKETCH)))
-    walked = classes.where("rep is not null").select("rep", "sig").mapInArrow(tidy(lambda it: nodes(it, depth, trees, similarity, parts)), "part int, blob binary")
-    met = walked.groupBy("part").applyInArrow(lambda t: compare(t, least, parts), "home int, blob binary")
-    groups = staged(components(met.groupBy("home").applyInArrow(merge, "a long, b long")))
-
-    # the groups' full sets, from their representatives' texts
-    size = classes.where("rep is not null").select("rep", "n").join(groups, F.col("rep") == F.col("v")).groupBy("c").agg(F.sum("n").alias("weight"))
-    cut = groups.join(size, "c").select("v", "c", F.ceil(F.col("weight") / heavy).cast("int").alias("blocks")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    member = text.join(cut, text.doc_id == cut.v).select("v", "c", "blocks", "block", "text")
+    size = classes.join(groups, "v").groupBy("c").agg(F.sum("n").alias("weight"), F.count("*").alias("m"))
+    size = staged(size.select("c", "weight", F.greatest(F.ceil(F.col("weight") / heavy), F.ceil(F.col("m") / members)).cast("int").alias("blocks")))
+    light, large = size.agg(F.sum(F.when(F.col("blocks") == 1, F.col("weight"))), F.count_if(F.col("blocks") > 1)).first()
+    cut = groups.join(size, "c").join(classes.select("v", "rep", "th"), "v").select("v", "c", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.col("rep").alias("d_"), F.col("th").alias("t_"))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -333,33 +317,97 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
                 full = [shingles(t.as_py(), words, hashes).tobytes() for t in texts.slice(i, j - i)]
                 yield pa.RecordBatch.from_arrays([*[b.column(x).slice(i, j - i) for x in range(4)], pa.array(full, pa.binary())], ["v", "c", "blocks", "block", "set"])
 
-    own = member.mapInArrow(tidy(sets), "v long, c long, blocks int, block int, set binary")
-    # a small group is one task's with others; a heavy one is judged by pairs of its blocks
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("c").alias("g"), F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    alone = F.array(F.struct(F.pmod(F.xxhash64("c"), F.lit(4 * parts)).cast("long").alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    tasks = own.withColumn("t", F.explode(F.when(F.col("blocks") > 1, others).otherwise(alone))).select("t.*", "v", "c", "set")
-    edges = tasks.groupBy("g", "i", "j").applyInArrow(lambda t: judge_groups(t.select(["v", "c", "set"]), percent), "a long, b long")
-    found = components(edges)
+    def own(which: DataFrame) -> DataFrame:
+        both = text.join(which, text.doc_id.eqNullSafe(which.d_) & (text.th == which.t_)).select("v", "c", "blocks", "block", "text")
+        # several rows may have the representative's id and text; where a class does, it is cut down before its set is made
+        one = both.dropDuplicates(["v"]) if repeated else both
+        return one.mapInArrow(tidy(sets), "v long, c long, blocks int, block int, set binary")
+
+    repeated = bool(classes.where("copies > 1").limit(1).count())
+    judge = lambda df, *keys: df.groupBy(*keys).applyInArrow(lambda t: judge_groups(t.select(["v", "c", "set"]), percent), "a long, b long")
+    tasks = max(4 * buckets(spark), math.ceil(8 * (light or 0) / TASK_BYTES))
+    edges = judge(own(cut.where("blocks = 1")).withColumn("g", F.pmod(F.xxhash64("c"), F.lit(tasks))), "g")
+    if not large:
+        return edges
+    # large groups: blocks with the group's pivots, then who isn't in the group's largest part against all blocks
+    sets_ = staged(own(cut.where("blocks > 1")))
+    pick = sets_.groupBy("c").agg(*[F.min_by("v", F.xxhash64("v", F.lit(k))).alias(f"p{k}") for k in range(PIVOTS)])
+    pick = pick.select(F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p_"))
+    pivots = sets_.join(pick, sets_.v == pick.p_).select("v", "c", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    first = staged(judge(sets_.select("v", "c", "set", "block").unionByName(pivots), "c", "block"))
+    part = components(first)
+    lab = staged(sets_.select("v", "c", "blocks").join(part.select(F.col("v").alias("w_"), F.col("c").alias("lab")), F.col("v") == F.col("w_"), "left").select("v", "c", "blocks", F.coalesce("lab", "v").alias("lab")))
+    main = lab.groupBy("c", "lab").agg(F.count("*").alias("k")).groupBy("c").agg(F.max_by("lab", F.struct("k", "lab")).alias("main")).withColumnRenamed("c", "c_")
+    left = lab.join(main, F.col("c") == F.col("c_")).where("lab <> main").select("v", "c")
+    count = left.groupBy("c").agg(F.ceil(F.count("*") / members).cast("int").alias("lots"))
+    left = staged(left.join(count, "c").select(F.col("v").alias("w_"), "lots", F.pmod(F.xxhash64("v", F.lit(1)), F.col("lots")).cast("int").alias("lot")))
+    if left.limit(1).count():
+        lots = staged(count.select(F.col("c").alias("c_"), "lots"))
+        rest = sets_.join(left, sets_.v == left.w_).select("v", "c", "set", "lot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        every = sets_.join(lots, sets_.c == lots.c_).select("v", "c", "set", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "block")
+        first = first.union(judge(rest.unionByName(every.select(*rest.columns)), "c", "lot", "block"))
+    return edges.union(first)
+
+
+def labelled(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, heavy: int = 60_000, members: int = 128) -> DataFrame:
+    """doc_id, th (a hash of the text), n_shingles, component_id, part (the number of the row's component, null without a word)."""
+    spark = docs.sparkSession
+    similarity = percent / 100
+    rows = staged(profile(docs, words))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "th"))
+    classes = rows.where("key is not null").groupBy("key").agg(rep.alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = staged(classes.select("key", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "n", "sig", "copies", F.monotonically_increasing_id().alias("v")))
+    n = classes.count()
+    depth, trees = schedule(n, recall, similarity)
+    # a set's nodes: its sketch for each part that it goes to, and its paths
+    parts = max(buckets(spark), math.ceil(n * trees * similarity**-depth * 20 / TASK_BYTES))
+    expected = SKETCH * (similarity + (1 - similarity) / 16)
+    least = int(expected - 5 * math.sqrt(expected * (1 - expected / SKETCH)))
+    walked = classes.select("v", "sig").mapInArrow(tidy(lambda it: nodes(it, depth, trees, similarity, parts)), "part int, blob binary")
+    met = walked.groupBy("part").applyInArrow(lambda t: compare(t, least, parts), "home int, blob binary")
+    groups = staged(components(met.groupBy("home").applyInArrow(merge, "a long, b long")))
+    found = components(judged(docs, groups, classes, words, percent, heavy, members))
 
-    named = classes.select("key", "rep").join(found, F.col("rep") == F.col("v"), "left").select(F.col("key").alias("k"), F.coalesce("c", "rep").alias("rep"))
+    part = F.coalesce("c", "v")
+    named = staged(classes.select("key", "v", "rep").join(found.withColumnRenamed("v", "w_"), F.col("v") == F.col("w_"), "left").select(F.col("key").alias("k"), part.alias("part"), "rep"))
+    least_id = named.groupBy("part").agg(F.min("rep").alias("least")).withColumnRenamed("part", "part_")
+    named = named.join(least_id, F.col("part") == F.col("part_")).select("k", "part", "least")
     out = rows.select("doc_id", "th", "n_shingles", "key").join(named, F.col("key") == F.col("k"), "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("rep"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th")
+    return out.select("doc_id", "th", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "part")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 * intersection >= percent * union of their sets of `words`-word shingles
+    (A-Z lower-cased). component_id is the smallest doc_id that links reach, kept whether it is the
+    document's own. A text of fewer words is one shingle; a null or empty one has none and is linked
+    with nothing. A very long text is one set, held by one task. Equal sets are one class, so a third of all rows may be copies; repeated rows are
+    equal sets. A row with a null doc_id is linked like any other, but its id is never a component_id; where links reach
+    no id, component_id is null and kept true. Rows that share a doc_id have each their own set.
+    An empty table yields no rows; other columns aren't read.
+
+    recall is the probability that a pair at the threshold meets in a tree; more similar ones meet more often, and
+    pairs of one group meet anyhow. A group of over `heavy` shingles or `members` sets is cut into blocks; no pair is left out by that.
+    """
+    found = labelled(docs, **options)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs' rows, with their own columns: one document of each group of near-duplicates, and one of repeated rows.
 
     Texts of one doc_id are one document; if it is the one that stays, it stays with the text of the smallest hash.
-    Rows with a null doc_id and no partner stay, once for each text.
+    A group without any doc_id keeps the row whose text has the smallest hash.
     """
     cols = docs.columns
-    found = near_duplicates(docs, **options).where("kept")
-    one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("th")).alias("x")).agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("n"))
+    found = labelled(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    nameless = F.when(F.col("component_id").isNull(), F.struct(F.col("part"), F.when(F.col("part").isNull(), F.col("th")).alias("t")))
+    one = found.groupBy("component_id", nameless.alias("x")).agg(F.min(F.struct("doc_id", "th")).alias("k"), F.count("*").alias("n"))
     one = staged(one.select(F.col("k.doc_id").alias("d_"), F.col("k.th").alias("t_"), "n"))
-    own = docs.withColumn("th_", F.xxhash64(F.col("text").cast("string")))
-    both = own.join(one, F.col("doc_id").cast("long").eqNullSafe(F.col("d_")) & F.col("th_").eqNullSafe(F.col("t_")))
+    own = docs.select(F.struct(*cols).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    both = own.join(one, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("t_")))
     if not one.where("n > 1").limit(1).count():
-        return both.select(*cols)
-    repeated = both.where("n > 1").dropDuplicates(["doc_id", "th_"])
-    return both.where("n = 1").select(*cols).unionByName(repeated.select(*cols))
+        return both.select("row.*")
+    repeated = both.where("n > 1").dropDuplicates(["doc_id", "th"])
+    return both.where("n = 1").select("row.*").unionByName(repeated.select("row.*"))

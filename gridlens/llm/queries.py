@@ -75,7 +75,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridlens.llm.neardup import near_duplicates
 
-    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2).drop("th")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

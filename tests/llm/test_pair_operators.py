@@ -451,12 +451,15 @@ def near_copies(rnd, n):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("seed", "words", "heavy"), [(1, 2, 3_000_000), (2, 5, 3_000_000), (3, 2, 60)])
-def test_components_equal_brute_force(spark, seed, words, heavy):
-    docs = near_copies(random.Random(seed), 320)
+@pytest.mark.parametrize(("seed", "words", "limits"), [(1, 2, {}), (2, 5, {}), (3, 2, {"heavy": 60, "members": 3})])
+def test_components_equal_brute_force(spark, seed, words, limits):
+    """Some ids are null, some stand twice, some rows are repeated."""
+    rnd = random.Random(seed)
+    docs = near_copies(rnd, 320)
+    docs = [(None if rnd.random() < 0.2 else rnd.randrange(320) if rnd.random() < 0.1 else d, t) for d, t in docs] + docs[:9] + docs[:9]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=words, heavy=heavy).collect()}
-    assert got == {d: w for (d, _), w in zip(docs, plain_components(docs, words))}
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, words=words, **limits).collect())
+    assert got == Counter((d, n, c, d == c) for (d, _), (n, c) in zip(docs, plain_components(docs, words)))
 
 
 def test_a_large_group_of_copies(spark):
@@ -465,14 +468,33 @@ def test_a_large_group_of_copies(spark):
     docs = []
     for i in range(1500):
         t = list(base)
-        for _ in range(i % 6):
+        for _ in range(i % 8):
             t[rnd.randrange(80)] = f"x{rnd.randrange(10_000)}"
         docs.append((i, " ".join(t)))
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=2, heavy=20_000).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=2).collect()}
     assert got == {d: w for (d, _), w in zip(docs, plain_components(docs, 2))}
 
 
+def test_links_count_exactly():
+    """80 percent to the set, where 32-bit floats would round."""
+    n = 900_001
+    a, b = np.arange(n, dtype=np.uint64), np.arange(n // 9, n // 9 + n, dtype=np.uint64)
+    inter = len(np.intersect1d(a, b))
+    assert (neardup.links([a, b], 80)[0] == neardup.links([a, b], 80)[1]) == (100 * inter >= 80 * (2 * n - inter))
+    c = np.concatenate([a[: n * 4 // 5], a[:0]])
+    assert (len(set(neardup.links([a, c], 80).tolist())) == 1) == (100 * len(c) >= 80 * n)
+
+
+def test_null_ids_are_linked(spark):
+    text = [f"w{i}" for i in range(61)]
+    rows = [(5, " ".join(text)), (None, " ".join([*text[:-1], "other"])), (None, "quite another text"), (None, "quite another text"), (None, "")]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect())
+    assert got == [("5", 60, 5, True), ("None", 0, None, True), ("None", 2, None, True), ("None", 2, None, True), ("None", 60, 5, False)]
+    near = [(None, " ".join(text), "en", "s", 1), (None, " ".join([*text[:-1], "other"]), "en", "s", 1)]
+    assert neardup.deduplicate(spark.createDataFrame(near, DOCS)).count() == 1
+
+
 def test_schedule_meets_the_recall():
     rng = np.random.default_rng(4)
     depth, trees = neardup.schedule(10_000, 0.9999, 0.8)
@@ -495,7 +517,7 @@ def test_stars(spark):
 
 
 def test_near_hard_rows(spark, hard, none, wider):
-    got = neardup.near_duplicates(wider(hard).drop("th", "key"), words=2).collect()
+    got = neardup.near_duplicates(wider(hard), words=2).collect()
     assert len(got) == 11
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} >= {(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (None, 0, None, True)}
     assert neardup.near_duplicates(none).count() == neardup.deduplicate(none).count() == 0
