@@ -296,7 +296,7 @@ def judge_groups(t: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": ids[ids != root], "b": root[ids != root]})
 
 
-PIVOTS = 4
+PIVOTS = 16
 TASK_BYTES = 32_000_000  # of sets or nodes that meet in one task, about
 
 
@@ -349,7 +349,7 @@ def judged(docs: DataFrame, groups: DataFrame, classes: DataFrame, words: int, p
     return edges.union(first)
 
 
-def labelled(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, heavy: int = 60_000, members: int = 128) -> DataFrame:
+def labelled(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = 0.9999, heavy: int = 60_000, members: int = 64) -> DataFrame:
     """doc_id, th (a hash of the text), n_shingles, component_id, part (the number of the row's component, null without a word)."""
     spark = docs.sparkSession
     similarity = percent / 100
