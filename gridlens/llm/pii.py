@@ -5,8 +5,9 @@ reveals it: with n_e different contexts of the value, n_te of them with the term
 that hold the term and N units in all, the pointwise mutual information ln(n_te N / (n_t n_e)) is set
 against the value's own information ln(N / n_e). Units are the value's contexts and, apart from them,
 different texts: n_t is n_te and the texts that hold the term, but not near the value; N is n_e and the
-texts without the value. Terms over the lower threshold of that ratio are generalised, over the upper
-one removed, wherever they stand near the value. Copies share their text, and near copies their
+texts without the value. A term over the lower threshold of that ratio, for any value, is generalised to its
+class (a name, a word, an abbreviation), over the upper one removed, in all documents and wherever it
+stands, as it gives the value away there, too. Copies share their text, and near copies their
 contexts, so they are evidence neither for a term nor against it.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gridlens.llm.common import small_batches, staged, tidy
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "removed")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")  # a run of digits that fails at its start fails throughout
@@ -34,7 +35,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}")  # shorter ones fail anyway
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGITS = re.compile(r"[0-9]")
-BLOOM_BITS = 20
+BLOOM_BITS = (14, 26)  # least and most bits of the filter of terms: 8 MB at most
 COPY_BITS = 24
 
 
@@ -86,30 +87,40 @@ def term_hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.lower().encode("utf-8", "surrogatepass")) >> 1
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int, list[int]]]:
-    """(entity, term, context, positions) for the terms among the `reach` words on either side of each value, however far off they stand.
+def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """(entity, term, context) for the terms among the `reach` words on either side of each value, however far off they stand.
 
-    The text's terms are found in one pass.
+    The text's terms are found in one pass; those that overlap a value are none.
     """
-    starts, ends = array("q"), array("q")
-    for m in _TERM.finditer(text) if spans else ():
-        starts.append(m.start())
-        ends.append(m.end())
-    found: dict[tuple[int, int, int], list[int]] = {}
-    taken = [(s, e) for s, _, e in spans]
+    if not spans:
+        return []
+    starts, ends, k, until = array("q"), array("q"), 0, 0
+    for m in _TERM.finditer(text):
+        a, z = m.span()
+        while k < len(spans) and spans[k][0] < z:  # until: how far the values reach that begin before this term's end
+            until = max(until, spans[k][2])
+            k += 1
+        if until <= a:
+            starts.append(a)
+            ends.append(z)
+    found: dict[tuple[int, int, int], None] = {}
     for s, kind, e in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[s:e].lower()}".encode("utf-8", "surrogatepass")) >> 1
         p, n = bisect_right(ends, s), bisect_left(starts, e)
-        before, after = ([*zip(starts[i:j], ends[i:j])] for i, j in ((max(0, p - reach), p), (n, n + reach)))
-        near = [(a, b) for a, b in before + after if not any(a < y and x < b for x, y in taken)]
-        window = xxhash.xxh64_intdigest(" ".join(text[a:b].lower() for a, b in near).encode("utf-8", "surrogatepass")) >> 1
-        for a, b in near:
-            found.setdefault((entity, term_hash(text[a:b]), window), []).extend((a, b))
-    return [(*k, v) for k, v in found.items()]
+        near = [text[starts[i] : ends[i]].lower() for i in (*range(max(0, p - reach), p), *range(n, min(n + reach, len(starts))))]
+        window = xxhash.xxh64_intdigest(" ".join(near).encode("utf-8", "surrogatepass")) >> 1
+        for t in near:
+            found[entity, term_hash(t), window] = None
+    return list(found)
 
 
-_ROW = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, ctx array<struct<entity:long,term:long,window:long,at:array<int>>>"
-_CTX = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("window", pa.int64()), ("at", pa.list_(pa.int32()))]))
+def term_class(term: str) -> str:
+    """What a generalised term becomes: one level above it."""
+    return "ABBREVIATION" if len(term) <= 5 and term.isupper() else "NAME" if term[:1].isupper() else "WORD"
+
+
+_ROW = "doc_id long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, ctx array<struct<entity:long,term:long,window:long>>"
+_CTX = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("window", pa.int64())]))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -129,7 +140,7 @@ def find_base(docs: DataFrame, reach: int = 5) -> DataFrame:
                 n = [0] * 5
                 for _, k, _ in spans:
                     n[k] += 1
-                row = (*n[:4], hashlib.sha256(said.encode()).hexdigest(), said, [dict(zip(("entity", "term", "window", "at"), c)) for c in contexts(text, spans, reach)] if spans else [])
+                row = (*n[:4], hashlib.sha256(said.encode()).hexdigest(), said, [dict(zip(("entity", "term", "window"), c)) for c in contexts(text, spans, reach)] if spans else [])
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [_CTX]
@@ -151,21 +162,46 @@ def _filter_bits(hashes: DataFrame, name: str, size: int) -> np.ndarray:
     return bits.view(np.uint64)
 
 
+def _terms_filter(terms: DataFrame) -> np.ndarray:
+    """A filter of the terms' hashes (term): 16 slots a term, 2^26 at most."""
+    n = terms.count()
+    return _filter_bits(terms, "term", 1 << min(BLOOM_BITS[1], max(BLOOM_BITS[0], (16 * n).bit_length()))) if n else np.zeros(0, np.uint64)
+
+
+def _passing(filt: np.ndarray):
+    """Function from a lower-cased word to its hash, or -1 where the filter doesn't know it."""
+    size, known = 64 * len(filt), {}
+
+    def of(w: str) -> int:
+        h = known.get(w)
+        if h is None:
+            if len(known) > 200_000:
+                known.clear()
+            h = term_hash(w)
+            p = h % size
+            h = h if int(filt[p >> 6]) >> (p & 63) & 1 else -1
+            if len(w) < 40:
+                known[w] = h
+        return h
+
+    return of
+
+
 def _texts_with(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
     """(term, texts): different texts that hold each term. copied: the hashes (th) of texts that stand in several rows.
 
-    terms pass a filter of 2^20 bits, a fixed size, before they are counted; the exact join follows. Texts that a filter
+    terms pass a filter of bounded size before they are counted; the exact join follows. Texts that a filter
     of 2^24 bits knows to stand once are counted in their task; others go by (term, th) and count once.
     """
-    size, room = 1 << BLOOM_BITS, 1 << COPY_BITS
-    bits = _filter_bits(terms, "term", size)
-    if not bits.any():
+    room = 1 << COPY_BITS
+    bits = _terms_filter(terms)
+    if not len(bits):
         return terms.select("term", F.lit(0).cast("long").alias("texts"))
     sent = docs.sparkSession.sparkContext.broadcast((bits, _filter_bits(copied, "th", room)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt, again = sent.value
-        known: dict[str, int] = {}
+        hash_of = _passing(filt)
         for b in batches:
             total: dict[int, int] = {}
             term, th = [], []
@@ -178,15 +214,7 @@ def _texts_with(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFra
                 if not single:
                     seen.add(x)
                 for w in {*_TERM.findall((t.as_py() or "").lower())}:
-                    h = known.get(w)
-                    if h is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        h = term_hash(w)
-                        p = h % size
-                        h = h if int(filt[p >> 6]) >> (p & 63) & 1 else -1
-                        if len(w) < 40:
-                            known[w] = h
+                    h = hash_of(w)
                     if h >= 0 and single:
                         total[h] = total.get(h, 0) + 1
                     elif h >= 0:
@@ -199,12 +227,12 @@ def _texts_with(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFra
     return terms.join(once.groupBy("term").agg(F.sum("n").alias("texts")), "term")
 
 
-def reveal(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
-    """(doc_id, th, terms): the spans array<struct<start,end,removed>> of terms that reveal a value near them.
+def disclosing(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
+    """(term, ratio): the hashes of terms that give a value away, with the highest ratio of any value.
 
     base is find_base()'s staged table. A pair needs `support` different contexts.
     """
-    ctx = base.where(F.size("ctx") > 0).select("doc_id", "th", F.explode("ctx").alias("c")).select("doc_id", "th", "c.*")
+    ctx = base.where(F.size("ctx") > 0).select("th", F.explode("ctx").alias("c")).select("th", "c.*")
     pairs = ctx.groupBy("entity", "term", "window").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
     pairs = staged(pairs)
     n_e = ctx.groupBy("entity", "window").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_e"))
@@ -216,28 +244,63 @@ def reveal(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float
     n_t = F.greatest(F.col("texts") - F.col("texts_te"), F.lit(0)) + F.col("n_te")
     ratio = F.log(F.col("n_te") * n_all / (n_t * F.col("n_e"))) / F.log(n_all / F.col("n_e"))
     every = pairs.join(texts_te, ["entity", "term"]).join(n_e.join(texts_e, "entity"), "entity").where(n_all > F.col("n_e"))
-    shown = every.join(texts, "term").select("entity", "term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
-    spans = ctx.join(shown, ["entity", "term"]).select("doc_id", "th", (F.col("ratio") >= remove).alias("removed"), F.explode(F.transform(F.expr("sequence(0, size(at) div 2 - 1)"), lambda k: F.struct(F.get("at", (2 * k).cast("int")).alias("start"), F.get("at", (2 * k + 1).cast("int")).alias("end")))).alias("s"))
-    per = spans.groupBy("doc_id", "th", "s.start", "s.end").agg(F.bool_or("removed").alias("removed"))
+    shown = every.join(texts, "term").select("term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
+    return staged(shown.groupBy("term").agg(F.max("ratio").alias("ratio")).withColumn("removed", F.col("ratio") >= remove))
+
+
+_TERMS = "array<struct<start:int,end:int,removed:boolean>>"
+
+
+def places(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """(doc_id, th, terms): where the terms of `shown` stand, in all documents, but for places inside a base span."""
+    schema = f"doc_id long, th long, terms {_TERMS}"
+    bits = _terms_filter(shown)
+    if not len(bits):
+        return docs.sparkSession.createDataFrame([], schema)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_of = _passing(sent.value)
+        for b in batches:
+            out: list[tuple] = []
+            for d, th, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text, spans, k, until = t.as_py() or "", None, 0, 0
+                for m in _TERM.finditer(text):
+                    h = hash_of(m[0].lower())
+                    if h < 0:
+                        continue
+                    spans = base_spans(text) if spans is None else spans
+                    a, z = m.span()
+                    while k < len(spans) and spans[k][0] < z:
+                        until = max(until, spans[k][2])
+                        k += 1
+                    if until <= a:
+                        out.append((d, th, h, a, z))
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], ["doc_id", "th", "term", "start", "end"])
+
+    found = _keyed(docs).mapInArrow(tidy(run), "doc_id long, th long, term long, start int, end int").join(shown, "term")
+    per = found.groupBy("doc_id", "th", "start", "end").agg(F.bool_or("removed").alias("removed"))  # repeated rows have the same places
     return per.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
 
 
 def scan(docs: DataFrame, **thresholds) -> tuple[DataFrame, DataFrame]:
-    """(base, terms), both staged: find_base's rows, and the few rows that reveal() yields."""
+    """(base, terms), both staged: find_base's rows, and those of places()."""
     base = staged(find_base(docs))
-    return base, staged(reveal(docs, base, **thresholds))
+    return base, staged(places(docs, disclosing(docs, base, **thresholds)))
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: all spans of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: all spans of every row; term: a generalised term, removed: a removed one.
 
     A null or empty text has no spans. Repeated rows each get their row, a null doc_id stays null,
     rows of one doc_id with different texts are kept apart by a hash of the text; spans of different
     kinds may overlap, ties in start go by kind. An empty table yields no rows; other columns aren't read.
-    Two scans of the texts, no shuffle of them; what is shuffled are terms near values and counts.
+    A very long text is read in one piece, in time that grows with its length. Two scans of the texts, and a third where terms disclose values; no
+    shuffle of texts: what is shuffled are terms near values, counts and the places of disclosing terms.
     """
     base, terms = scan(docs, **thresholds)
-    extra = F.transform("terms", lambda s: F.struct(s.start.alias("s"), F.lit(4).alias("k"), F.format_string("term:%d:%d", s.start, s.end).alias("said")))
+    extra = F.transform("terms", lambda s: F.struct(s.start.alias("s"), F.when(s.removed, 5).otherwise(4).alias("k"), F.format_string("%s:%d:%d", F.when(s.removed, "removed").otherwise("term"), s.start, s.end).alias("said")))
     parts = F.filter(F.split("base", ","), lambda x: x != "")
     ours = F.transform(parts, lambda x: F.struct(F.split(x, ":")[1].cast("int").alias("s"), F.when(x.startswith("email"), 0).when(x.startswith("ip"), 1).when(x.startswith("card"), 2).otherwise(3).alias("k"), x.alias("said")))
     every = F.array_sort(F.concat(ours, extra))
@@ -247,8 +310,9 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
 
 
 def masked(text: str, terms: list[dict] | None) -> str:
-    """Values become their kind in brackets, terms [TERM] or nothing; overlapping spans become one, under the first's name."""
-    spans = [(s, e, f"[{KINDS[k].upper()}]") for s, k, e in base_spans(text)] + [(t["start"], t["end"], "" if t["removed"] else "[TERM]") for t in terms or ()]
+    """Values become their kind in brackets, terms their class in brackets or nothing; overlapping spans become one, under the first's name."""
+    spans = [(s, e, f"[{KINDS[k].upper()}]") for s, k, e in base_spans(text)]
+    spans += [(t["start"], t["end"], "" if t["removed"] else f"[{term_class(text[t['start'] : t['end']])}]") for t in terms or ()]
     out, at = [], 0
     for s, e, name in sorted(spans):
         if s >= at:
@@ -261,9 +325,9 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     """docs with its own columns, text masked; n_chars, where there is one, follows the text. Null texts stay null."""
     _, terms = scan(docs, **thresholds)
     cols = docs.columns
-    t = terms.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("terms").alias("_terms"))
-    both = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string"))).join(t, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("_h").eqNullSafe(F.col("_t")), "left")
-    both = both.select(*cols, "_terms")
+    t = terms.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), F.col("terms").alias("terms_"))
+    own = small_batches(docs).select(F.struct(*cols).alias("row_"), F.col("doc_id").cast("long").alias("id_"), F.xxhash64(F.col("text").cast("string")).alias("h_"))
+    both = own.join(t, F.col("id_").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")), "left").select("row_.*", "terms_")
     where = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,7 +220,7 @@ def test_op7(spark):
         assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(n[k] for k in range(4))
         said = pii.joined(spans)
         assert g.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
-        assert [x for x in g.spans.split(",") if x and not x.startswith("term")] == [x for x in said.split(",") if x]
+        assert [x for x in g.spans.split(",") if x and not x.startswith(("term", "removed"))] == [x for x in said.split(",") if x]
         assert spans or not g.spans  # clean documents are left alone
 
 
@@ -236,7 +236,7 @@ def test_terms_that_reveal(spark):
     got = {r.doc_id: r.spans.split(",") for r in pii.find(docs).collect()}
     text = {r.doc_id: r.text for r in docs.collect()}
     for i in range(6):
-        terms = {text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[i]) if k == "term"}
+        terms = {text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[i]) if k in ("term", "removed")}
         assert "Zorbatron" in terms and not terms & {"then", "and", "once", "at"}
     assert all(got[100 + i] == [""] for i in range(30))
     assert all(len(got[200 + i]) == 1 for i in range(9)), "copies are one context, not nine"
@@ -245,6 +245,72 @@ def test_terms_that_reveal(spark):
     assert clean[100].text == text[100] and clean[100].n_chars == 30
 
 
+def plain_terms(docs, support=3, generalise=0.6, remove=0.9, reach=5):
+    """{lower-cased term: removed}, straight from the definition over (text) rows."""
+    from math import log
+
+    contexts, texts = {}, {t for t in docs if t is not None} | ({""} if None in docs else set())
+    holds = {t: {m[0].lower() for m in pii._TERM.finditer(t)} for t in texts}
+    for t in texts:
+        spans = plain_spans(t)
+        terms = [m.span() for m in pii._TERM.finditer(t) if not any(m.start() < e and s < m.end() for s, _, e in spans)]
+        for s, k, e in spans:
+            near = [t[a:z].lower() for a, z in [x for x in terms if x[1] <= s][-reach:] + [x for x in terms if x[0] >= e][:reach]]
+            if near:
+                contexts.setdefault((k, t[s:e].lower()), []).append((tuple(near), t))
+    out = {}
+    for found in contexts.values():
+        n_e, texts_e = len({c for c, _ in found}), len({t for _, t in found})
+        for w in {w for c, _ in found for w in c}:
+            n_te, texts_te = len({c for c, _ in found if w in c}), len({t for c, t in found if w in c})
+            n_all = len(texts) - texts_e + n_e
+            if n_te < support or n_all <= n_e:
+                continue
+            n_t = max(0, sum(w in h for h in holds.values()) - texts_te) + n_te
+            ratio = log(n_te * n_all / (n_t * n_e)) / log(n_all / n_e)
+            if ratio >= generalise:
+                out[w] = max(out.get(w, 0), ratio)
+    return {w: r >= remove for w, r in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_terms_equal_a_plain_version(spark, seed):
+    """Disclosing terms go in all documents, near the value or not; what is done to each is told."""
+    rnd = random.Random(seed)
+    words = ["alpha", "Beta", "gamma", "DELTA", "epsilon", "zeta", "eta1x", "theta", "iota", "kappa", "lambda", "omicron"]
+    said = {f"u{k}@x{k}.org": f"Secret{chr(97 + k)}" for k in range(3)}
+    docs = []
+    for i in range(120):
+        t = [rnd.choice(words) for _ in range(rnd.randint(3, 12))]
+        if rnd.random() < 0.4:
+            mail, name = rnd.choice([*said.items()])
+            t.insert(rnd.randint(0, len(t)), f"{name if rnd.random() < 0.8 else ''} {mail}")
+        if rnd.random() < 0.03:
+            t.append(rnd.choice([*said.values()]))
+        docs.append((i, " ".join(t) if rnd.random() < 0.97 else None, "en", "s", 1))
+    docs += docs[:10]
+    want = plain_terms([t for _, t, *_ in docs])
+    assert want and set(want) & {"secreta", "secretb", "secretc"}
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, t, *_ in docs:
+        spans = plain_spans(t or "")
+        own = [(m.start(), 4 + want[m[0].lower()], m.end()) for m in pii._TERM.finditer(t or "") if m[0].lower() in want and not any(m.start() < e and s < m.end() for s, _, e in spans)]
+        assert got[i] == pii.joined(sorted(spans + own))
+
+
+def test_many_values_take_linear_time():
+    import time
+
+    def took(n):
+        text = " ".join(f"word{chr(97 + i % 26)} name{i}@site{i}.org" for i in range(n))
+        at = time.perf_counter()
+        pii.contexts(text, pii.base_spans(text), 5)
+        return time.perf_counter() - at
+
+    took(1000)
+    assert took(16_000) < 8 * took(4000) + 0.5
+
+
 @pytest.mark.parametrize("ending", ["", " page {}"])
 def test_copies_are_no_evidence_against_a_term(spark, ending):
     """A document that stands 1,000 times more, exactly or with another ending, counts as before; with the numbers of the finding."""
@@ -253,11 +319,11 @@ def test_copies_are_no_evidence_against_a_term(spark, ending):
     copies = [(10_000 + i, rows[0][1] + ending.format("".join(chr(97 + int(d)) for d in f"{i:04d}")), "en", "s", 60) for i in range(1000)]
 
     def terms(docs):
-        found = pii.find(spark.createDataFrame(docs, DOCS)).where("spans like '%term%'").select("doc_id", "spans").collect()
-        return {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in found}
+        found = pii.find(spark.createDataFrame(docs, DOCS)).where("spans like '%term%' or spans like '%removed%'").select("doc_id", "spans").collect()
+        return {r.doc_id: [x for x in r.spans.split(",") if x.startswith(("term", "removed"))] for r in found}
 
     before, after = terms(rows + others), terms(rows + others + copies)
-    said = f"term:{rows[0][1].index('Zorbatron')}:{rows[0][1].index(' at ')}"
+    said = f"removed:{rows[0][1].index('Zorbatron')}:{rows[0][1].index(' at ')}"
     assert len(before) == 6 and said in before[0]
     assert {k: v for k, v in after.items() if k < 10_000} == before and len(after) == 1006
     assert all(v == before[0] for k, v in after.items() if k >= 10_000)
@@ -277,9 +343,9 @@ def test_contexts_reach_over_gaps_of_any_length():
     gap = " 12 ## " * 100
     text = f"far Zorbatron{gap}a@b.cd{gap}Quibble end"
     found = pii.contexts(text, pii.base_spans(text), 5)
-    assert {text[at[0] : at[1]] for _, _, _, at in found} == {"far", "Zorbatron", "Quibble", "end"}
+    assert {t for _, t, _ in found} == {pii.term_hash(w) for w in ("far", "Zorbatron", "Quibble", "end")}
     text = "x" * 300 + " at a@b.cd"  # a word over the old edge stays whole
-    assert [at for _, _, _, at in pii.contexts(text, pii.base_spans(text), 5)] == [[0, 300]]
+    assert [t for _, t, _ in pii.contexts(text, pii.base_spans(text), 5)] == [pii.term_hash("x" * 300)]
 
 
 def test_overlapping_spans_become_one():
