@@ -2,12 +2,15 @@
 
 Every text is a sequence of word names. In each round, runs of one name and pairs whose names fall
 on the left and right side of that round's random split become one symbol, named by a hash of its
-parts; so equal passages get equal symbols but near their ends, in all documents alike and without
-asking anyone. Beside each boundary between symbols stands the range of words it depends on. A
+parts; so equal passages get equal symbols but near their ends, in all documents alike. Beside each boundary between symbols stands the range of words it depends on. A
 window (20 words) picks, on the highest level that has one, a boundary whose range lies inside it:
-its anchor. Equal windows pick the same anchor, so they meet in the bucket of the anchor's key, a
-hash of the words it depends on, and there hashes of the whole windows decide which of them has an
-earlier equal. A window without any such boundary is its own anchor.
+its anchor, named by the words that it depends on. Equal windows pick the same anchor. A window
+without any such boundary is its own anchor.
+
+Two Spark rounds follow. The first brings equal names of all documents together and reveals which
+stand more than once; all windows of other anchors are unique. The second sends the words around the
+anchors that are left to the bucket of their name, where windows are compared word by word; the
+later ones of equal windows are what is removed. Hashes choose who meets, words decide.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,181 +131,278 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _low_bytes(x: np.ndarray, n: int) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).reshape(-1)
-
-
-def _from_bytes(x: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((len(x) // n, 8), np.uint8)
-    out[:, :n] = x.reshape(-1, n)
-    return out.reshape(-1).view("<u8")
-
-
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First index and length of each run of equal values."""
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
     return at, np.diff(np.append(at, len(x)))
 
 
-NULL_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
+LAST_ID = np.iinfo(np.int64).max  # stands for a null doc_id, which comes after all others
+GROUP_BYTES = 3_000_000  # of texts that are worked on together
+TASK_BYTES = 32_000_000  # of texts for each bucket
+_KEY = ("id", "x", "y")  # a document: its id, and 128 bits of its text's hashes
+
 
+class Texts:
+    """The documents of one group: words, windows and anchors. Anchors are numbered in order of position and name, so a document numbers its own alike in any group."""
 
-def windows(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """(part, kind, blob): kind 0 holds windows for the bucket `part`, kind 1 repeats found in this batch already."""
+    def __init__(self, b: pa.RecordBatch, i: int, j: int, hashes: WordHashes, width: int, rounds: int, keep_words: bool = False):
+        self.key = [b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in _KEY]
+        words = [words_of(t.as_py()) for t in b.column("text").slice(i, j - i)]
+        self.words = words if keep_words else None
+        n = np.array([len(x) for x in words], np.int64)
+        self.start = np.cumsum(n) - n
+        self.any = bool((n >= width).any())
+        if not self.any:
+            return
+        h = np.concatenate([hashes.of(w) for w in words])
+        doc = np.repeat(np.arange(len(n)), n)
+        first = np.zeros(len(h), bool)
+        first[self.start[n > 0]] = True
+        inside = np.arange(len(h)) <= np.repeat(self.start + n - width, n)
+        key, at = anchors(h, first, inside, width, rounds)
+        win = np.flatnonzero(inside)
+        o = np.lexsort((win, key[win], at[win]))
+        self.win = win[o]  # window starts, by anchor
+        k, a = key[self.win], at[self.win]
+        self.first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (k[1:] != k[:-1])]))  # each anchor's first window
+        self.size = np.diff(np.append(self.first, len(self.win)))
+        self.name = mix(k[self.first])
+        self.doc = doc[self.win[self.first]]
+        at_doc, many = _runs(self.doc)
+        self.number = np.arange(len(self.doc)) - np.repeat(at_doc, many)
+
+    def refs(self, at: np.ndarray) -> list[np.ndarray]:
+        """The documents and numbers of anchors, which come in order."""
+        d_at, d_size = _runs(self.doc[at])
+        d = self.doc[at[d_at]]
+        return [*(k[d] for k in self.key), d_size.astype(np.uint32), np.diff(self.number[at], prepend=0).astype(np.int32)]
+
+
+def homes(ids: np.ndarray, x: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64) ^ mix(x.astype(np.uint64))) % np.uint64(parts)).astype(np.int64)
+
+
+def _dealt(where: np.ndarray, at: np.ndarray, blob) -> Iterator[tuple[int, bytes]]:
+    """(place, blob of the items that go there, in order)."""
+    o = np.argsort(where, kind="stable")
+    for x, y in zip(*_runs(where[o])):
+        yield int(where[o[x]]), blob(at[o[x : x + y]])
+
+
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, blob = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "blob"])
+
+
+def names(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, kind, blob): kind 0, names that stand once in this group, with their anchors; 1, names that stand more often, without; 2, the anchors of those, for their documents' homes."""
     hashes = WordHashes()
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
     for b in batches:
-        all_ids, all_sums = b.column(0), b.column(1)
-        texts_all = b.column(2)
-        for i0, j0 in groups_of(texts_all, 3_000_000):
-            ids = np.array([NULL_ID if v is None else v for v in all_ids.slice(i0, j0 - i0).to_pylist()], np.int64)
-            sums = np.array([0 if v is None else v for v in all_sums.slice(i0, j0 - i0).to_pylist()], np.int64)
-            order = np.argsort(ids, kind="stable")
-            ids, sums = ids[order], sums[order]
-            part_texts = texts_all.slice(i0, j0 - i0)
-            hs = [hashes.of(words_of(part_texts[int(k)].as_py())) for k in order]
-            n = np.array([len(x) for x in hs], np.int64)
-            h = np.concatenate(hs)
-            if not (n >= width).any():
+        for i, j in groups_of(b.column("text"), GROUP_BYTES):
+            t = Texts(b, i, j, hashes, width, rounds)
+            if not t.any:
                 continue
-            start = np.cumsum(n) - n
-            doc = np.repeat(np.arange(len(n)), n)
-            first = np.zeros(len(h), bool)
-            first[start[n > 0]] = True
-            inside = np.arange(len(h)) <= np.repeat(start + n - width, n)
-            key, at = anchors(h, first, inside, width, rounds)
-            win = np.flatnonzero(inside)
-            wh = Ranges(h).of(win, win + width)
-            # repeats within the batch: later ones are known to go, and needn't be sent
-            o = np.argsort(wh, kind="stable")
-            run, size = _runs(wh[o])
-            lead = np.empty(len(win), np.int64)
-            lead[o] = np.repeat(o[run], size)
-            wd, wp = doc[win], win - start[doc[win]]
-            ld, lp = wd[lead], wp[lead]
-            later = (ids[wd] > ids[ld]) | ((ids[wd] == ids[ld]) & (wp > lp))
-            if later.any():
-                d, p = wd[later], wp[later]
-                home = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)[d]
-                o2 = np.argsort(home, kind="stable")
-                at2, size2 = _runs(home[o2])
-                rows = [(int(home[o2[x]]), 1, _repeats(ids, sums, d[o2[x : x + y]], p[o2[x : x + y]])) for x, y in zip(at2, size2)]
-                yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))), schema=schema)
-            sent = ~later
-            w, wd, wp, wh = win[sent], wd[sent], wp[sent], wh[sent]
-            ak, aa = mix(key[w]), at[w]
-            bucket = (ak % np.uint64(parts)).astype(np.int64)
-            o = np.lexsort((wp, aa, bucket))
-            bucket, aa, ak, wh, wd, wp = bucket[o], aa[o], ak[o], wh[o], wd[o], wp[o]
-            first_at, size = _runs(aa)
-            # an anchor's windows can come in two buckets only if keys differ, and then so do levels
-            first_at = np.flatnonzero(np.concatenate([[True], (aa[1:] != aa[:-1]) | (ak[1:] != ak[:-1])]))
-            size = np.diff(np.append(first_at, len(aa)))
-            b_at, b_size = _runs(bucket[first_at])
+            _, inv, count = np.unique(t.name, return_inverse=True, return_counts=True)
+            often = count[inv] > 1
+            once, several = np.flatnonzero(~often), np.unique(t.name[often])
+            place = lambda n: (n % np.uint64(parts)).astype(np.int64)
+            rows = [(p, 0, blob) for p, blob in _dealt(place(t.name[once]), once, lambda at: _pack(t.name[at], *t.refs(at)))]
+            rows += [(p, 1, blob) for p, blob in _dealt(place(several), several, _pack)]
+            at = np.flatnonzero(often)
+            rows += [(p, 2, blob) for p, blob in _dealt(homes(t.key[0], t.key[1], parts)[t.doc[at]], at, lambda a: _pack(*t.refs(a)))]
+            if rows:
+                yield _batch(rows)
+
+
+def _spread(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(id, x, y) and number of each anchor or window in packed lists."""
+    doc = [np.concatenate([np.repeat(p[k], p[3]) for p in parts]) for k in range(3)]
+    return doc, np.concatenate([np.cumsum(p[4].astype(np.int64)) for p in parts])
+
+
+def _refs(doc: list[np.ndarray], number: np.ndarray) -> bytes:
+    o = np.lexsort((number, *doc[::-1]))
+    doc, number = [d[o] for d in doc], number[o]
+    new = np.concatenate([[True], np.any([d[1:] != d[:-1] for d in doc], axis=0)])
+    at = np.flatnonzero(new)
+    return _pack(*(d[at] for d in doc), np.diff(np.append(at, len(number))).astype(np.uint32), np.diff(number, prepend=0).astype(np.int32))
+
+
+def _home(out: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"home": pa.array([h for h, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+
+
+def shared(key: tuple, t: pa.Table, parts: int) -> pa.Table:
+    """One part of the names: the anchors whose name stands in another group, too, dealt by home; others that are known pass through."""
+    single, several, out = [], [], []
+    for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")):
+        if kind == 2:
+            out.append((key[0].as_py(), blob.as_py()))
+        else:
+            (several if kind else single).append(_unpack(blob.as_py()))
+    if single:
+        name = np.concatenate([s[0] for s in single])
+        own, inv, count = np.unique(name, return_inverse=True, return_counts=True)
+        again = (count > 1) | np.isin(own, np.concatenate([s[0] for s in several] or [own[:0]]))
+        use = np.flatnonzero(again[inv])
+        if len(use):
+            doc, number = _spread([s[1:] for s in single])
+            out += _dealt(homes(doc[0][use], doc[1][use], parts), use, lambda at: _refs([d[at] for d in doc], number[at]))
+    release()
+    return _home(out)
+
+
+def listed(t: pa.Table, width: int = 0) -> pa.Table:
+    """One home: (id, x, y) of each document, and the numbers in its packed lists; with a width, the word ranges that windows starting there cover."""
+    (ids, x, y), number = _spread([_unpack(b.as_py()) for b in t.column("blob")])
+    o = np.lexsort((number, y, x, ids))
+    ids, x, y, number = ids[o], x[o], y[o], number[o]
+    doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    if width:
+        cut = doc | np.concatenate([[True], number[1:] > number[:-1] + width])  # touching ranges become one
+        number = np.stack([number[cut], number[np.append(np.flatnonzero(cut)[1:] - 1, len(number) - 1)] + width], 1)
+    else:
+        cut = doc | np.concatenate([[True], number[1:] > number[:-1]])
+        number = number[cut][:, None]
+    offsets = np.concatenate([[0], np.cumsum(number.shape[1] * np.bincount(np.cumsum(doc)[cut] - 1))]).astype(np.int32)
+    return pa.table({"i": ids[doc], "u": x[doc], "w": y[doc], "list": pa.ListArray.from_arrays(pa.array(offsets), pa.array(number.reshape(-1).astype(np.int32)))})
+
+
+def leads(word: np.ndarray, start: np.ndarray, order: tuple[np.ndarray, ...], width: int) -> np.ndarray:
+    """For each window of words that begins at start the first in `order` (least significant key first) that equals it word by word. Hashes propose, all words are compared."""
+    lead = np.arange(len(start))
+    hash_ = Ranges(mix(word.astype(np.uint64))).of(start, start + width)
+    todo = np.lexsort((*order, hash_))
+    while len(todo):
+        run, size = _runs(hash_[todo])
+        head = np.repeat(todo[run], size)
+        same = np.ones(len(todo), bool)
+        for a in range(0, len(todo), 50_000):
+            z = slice(a, a + 50_000)
+            for k in range(width):
+                same[z] &= word[start[todo[z]] + k] == word[start[head[z]] + k]
+        lead[todo[same]] = head[same]
+        todo = todo[~same]  # equal hashes of different words: the rest of such runs goes once more, in the same order
+    return lead
+
+
+def _interned(known: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    for w in words:
+        known.setdefault(w, len(known))
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def segments(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, kind, blob): kind 0, the words around shared anchors for the bucket of their name, with the windows that begin there; 2, windows that repeat one in this group already."""
+    hashes = WordHashes()
+    for b in batches:
+        for i, j in groups_of(b.column("text"), GROUP_BYTES):
+            t = Texts(b, i, j, hashes, width, rounds, keep_words=True)
+            if not t.any:
+                continue
+            numbers = b.column("list").slice(i, j - i)
+            at_doc = np.searchsorted(t.doc, np.arange(j - i))
+            size = pc.list_value_length(numbers).to_numpy(zero_copy_only=False)
+            use = np.repeat(at_doc, size) + numbers.flatten().to_numpy()
+            n = t.size[use]
+            win = t.win[np.repeat(t.first[use] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            owner = np.repeat(np.arange(len(use)), n)
+            doc = t.doc[use][owner]
+            pos = win - t.start[doc]
+            word = _interned({}, [w for ws in t.words for w in ws])
+            lead = leads(word, win, (pos, t.key[0][doc]), width)
+            later = (t.key[0][doc] > t.key[0][doc[lead]]) | ((t.key[0][doc] == t.key[0][doc[lead]]) & (pos > pos[lead]))
             rows = []
-            for x, y in zip(b_at, b_size):
-                f = first_at[x : x + y]
-                lo_, hi_ = f[0], f[-1] + size[x + y - 1]
-                docs_here, d_size = _runs(wd[f])
-                dd = wd[f][docs_here]
-                rel = wp[f]
-                blob = _pack(
-                    ids[dd], sums[dd], d_size.astype(np.uint32), _low_bytes(ak[f], 6), np.diff(rel, prepend=0).astype(np.int32),
-                    size[x : x + y].astype(np.uint8), (wp[lo_:hi_] - np.repeat(rel, size[x : x + y])).astype(np.uint8), (aa[f] - w[o][f]).astype(np.uint8), _low_bytes(wh[lo_:hi_], 5),
-                )
-                rows.append((int(bucket[f[0]]), 0, blob))
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))), schema=schema)
-
-
-def _repeats(ids: np.ndarray, sums: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    """Starts of windows that repeat an earlier one, by document; doc comes in order."""
-    at, size = _runs(doc)
-    return _pack(ids[doc[at]], sums[doc[at]], size.astype(np.uint32), np.diff(pos, prepend=0).astype(np.int32))
-
-
-def meet(key: tuple, t: pa.Table, parts: int) -> pa.Table:
+            at = np.flatnonzero(later)
+            if len(at):
+                home = homes(t.key[0], t.key[1], parts)[doc[at]]
+                rows += [(p, 2, blob) for p, blob in _dealt(home, at, lambda a: _refs([k[doc[a]] for k in t.key], pos[a]))]
+            # of equal windows in this group the first one goes on, for all its words' sake with its neighbours of one anchor
+            sent = np.flatnonzero(~later)
+            if len(sent):
+                s_at, s_size = _runs(owner[sent])
+                anchor = use[owner[sent][s_at]]
+                s_pos = pos[sent][s_at]
+                s_last = pos[sent][s_at + s_size - 1]
+
+                def blob(a: np.ndarray) -> bytes:
+                    d = t.doc[anchor[a]]
+                    text = b" ".join(b" ".join(t.words[k][p : z + width]) for k, p, z in zip(d.tolist(), s_pos[a].tolist(), s_last[a].tolist()))
+                    m = s_size[a]
+                    w = np.repeat(s_at[a] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    return _pack(*(k[d] for k in t.key), s_pos[a].astype(np.int32), (s_last[a] - s_pos[a] + width).astype(np.uint8), m.astype(np.uint8), (pos[sent][w] - np.repeat(s_pos[a], m)).astype(np.uint8), np.frombuffer(text, np.uint8))
+
+                rows += [(p, 0, x) for p, x in _dealt((t.name[anchor] % np.uint64(parts)).astype(np.int64), np.arange(len(anchor)), blob)]
+            yield _batch(rows)
+
+
+def meet(key: tuple, t: pa.Table, width: int, parts: int) -> pa.Table:
     """One bucket: windows whose equal starts earlier, dealt by their documents' homes; repeats known before pass through."""
-    cols: list[list[np.ndarray]] = [[], [], [], [], []]
     out: list[tuple[int, bytes]] = []
+    cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    known: dict[bytes, int] = {}
+    base = 0
     for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")):
         if kind:
             out.append((key[0].as_py(), blob.as_py()))
             continue
-        ids, sums, d_size, ak, rel, size, off, delta, wh = _unpack(blob.as_py())
-        doc = np.repeat(np.repeat(np.arange(len(ids)), d_size), size)
-        rel = np.cumsum(rel.astype(np.int64))
-        pos = np.repeat(rel, size) + off
-        offset = np.repeat(delta.astype(np.int64), size) - off  # of the anchor in the window
-        eq = mix(np.repeat(_from_bytes(ak, 6), size) * BASE + _from_bytes(wh, 5)) + offset.astype(np.uint64) * GOLD
-        for c, v in zip(cols, (eq, ids[doc], sums[doc], pos)):
+        ids, x, y, s_pos, n_words, m, off, text = _unpack(blob.as_py())
+        word = _interned(known, text.tobytes().split(b" "))
+        first = np.cumsum(n_words.astype(np.int64)) - n_words + base
+        base += len(word)
+        for c, v in zip(cols, (word, *(np.repeat(k, m) for k in (ids, x, y)), np.repeat(s_pos, m) + off, np.repeat(first, m) + off)):
             c.append(v)
     if cols[0]:
-        eq, ids, sums, pos = (np.concatenate(c) for c in cols[:4])
-        del cols
-        o = np.argsort(eq, kind="stable")
-        run, size = _runs(eq[o])
-        o = o[np.repeat(size > 1, size)]
-        if len(o):
-            eq, ids, sums, pos = eq[o], ids[o], sums[o], pos[o]
-            o = np.lexsort((pos, ids, eq))
-            eq, ids, sums, pos = eq[o], ids[o], sums[o], pos[o]
-            run, size = _runs(eq)
-            later = (ids > np.repeat(ids[run], size)) | (pos > np.repeat(pos[run], size))
-            ids, sums, pos = ids[later], sums[later], pos[later]
-            home = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            o = np.lexsort((pos, sums, ids, home))
-            home, ids, sums, pos = home[o], ids[o], sums[o], pos[o]
-            at, size = _runs(home)
-            for x, y in zip(at, size):
-                i, s = ids[x : x + y], sums[x : x + y]
-                new = np.concatenate([[True], (i[1:] != i[:-1]) | (s[1:] != s[:-1])])
-                out.append((int(home[x]), _repeats(i[new], s[new], np.cumsum(new) - 1, pos[x : x + y])))
+        word, ids, x, y, pos, start = (np.concatenate(c) for c in cols)
+        del cols, known
+        lead = leads(word, start, (pos, ids), width)
+        at = np.flatnonzero((ids > ids[lead]) | ((ids == ids[lead]) & (pos > pos[lead])))
+        if len(at):
+            out += _dealt(homes(ids[at], x[at], parts), at, lambda a: _refs([ids[a], x[a], y[a]], pos[a].astype(np.int64)))
     release()
-    return pa.table({"home": pa.array([h for h, _ in out], pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
+    return _home(out)
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    text = "cast(text as string)"
+    return small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", f"coalesce(cast(doc_id as bigint), {LAST_ID}L) id", f"xxhash64({text}) x", f"xxhash64(7, {text}) y", f"{text} text")
+
+
+_LIST = "i long, u long, w long, list array<int>"
+
+
+def _with(documents: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    return documents.join(lists, (F.col("id") == F.col("i")) & (F.col("x") == F.col("u")) & (F.col("y") == F.col("w")), how)
 
 
-def gather(key: tuple, t: pa.Table, width: int) -> pa.Table:
-    """One home: for each document the word ranges that its repeats cover."""
-    parts = [_unpack(b.as_py()) for b in t.column("blob")]
-    ids = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-    sums = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-    pos = np.concatenate([np.cumsum(p[3].astype(np.int64)) for p in parts])
-    o = np.lexsort((pos, sums, ids))
-    ids, sums, pos = ids[o], sums[o], pos[o]
-    doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])])
-    cut = doc | np.concatenate([[True], pos[1:] > pos[:-1] + width])  # touching ranges become one
-    lo = pos[cut]
-    hi = pos[np.append(np.flatnonzero(cut)[1:] - 1, len(pos) - 1)] + width
-    owner = np.cumsum(doc)[cut] - 1
-    flat = np.stack([lo, hi], 1).reshape(-1).astype(np.int32)
-    offsets = np.concatenate([[0], np.cumsum(2 * np.bincount(owner))]).astype(np.int32)
-    mine = ids[doc]
-    return pa.table({"doc_id": pa.array(mine, mask=mine == NULL_ID), "crc": sums[doc], "cover": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
-
-
-def repeats(docs: DataFrame, width: int = 20, rounds: int = 4, parts: int | None = None) -> DataFrame:
-    """doc_id, crc (of the text), cover: flat [start, end) pairs of word positions that repeat an earlier window."""
-    parts = parts or buckets(docs.sparkSession)
-    keyed = small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "crc32(cast(cast(text as string) as binary)) crc", "cast(text as string) text")
-    sent = keyed.mapInArrow(tidy(lambda it: windows(it, width, rounds, parts)), "part int, kind int, blob binary")
-    met = sent.groupBy("part").applyInArrow(lambda key, t: meet(key, t, parts), "home int, blob binary")
-    return met.groupBy("home").applyInArrow(lambda key, t: gather(key, t, width), "doc_id long, crc long, cover array<int>")
+def repeats(documents: DataFrame, width: int = 20, rounds: int = 4, parts: int | None = None) -> DataFrame:
+    """i, u, w (a document's key), list: flat [start, end) pairs of word positions that repeat an earlier window."""
+    if not parts:
+        size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(buckets(documents.sparkSession), -(-size // TASK_BYTES))
+    sent = "part int, kind int, blob binary"
+    named = documents.mapInArrow(tidy(lambda it: names(it, width, rounds, parts)), sent)
+    met = named.groupBy("part").applyInArrow(lambda key, t: shared(key, t, parts), "home int, blob binary")
+    numbers = met.groupBy("home").applyInArrow(lambda t: listed(t), _LIST)
+    around = _with(documents, numbers, "inner").mapInArrow(tidy(lambda it: segments(it, width, rounds, parts)), sent)
+    met = around.groupBy("part").applyInArrow(lambda key, t: meet(key, t, width, parts), "home int, blob binary")
+    return met.groupBy("home").applyInArrow(lambda t: listed(t, width), _LIST)
 
 
 def dedup(docs: DataFrame, width: int = 20, with_text: bool = False, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; on request kept (string).
 
-    A word goes if a window of `width` words over it equals one that starts earlier: in a document of
+    A word goes if a window of `width` words (129 at most) over it equals one that starts earlier: in a document of
     smaller doc_id, or in the same one further ahead. Windows are judged on the input. A null or short
-    text loses nothing; a null doc_id comes last; rows that repeat a doc_id and text start nowhere
+    text loses nothing. Null doc_ids come last and count as one id, whose texts are versions; rows that repeat a doc_id and text start nowhere
     earlier than each other, and are treated alike; one doc_id with two texts is one document with two
-    versions, told apart by a checksum. An empty table yields no rows; other columns aren't read.
-    Buckets are sized by spark.sql.shuffle.partitions; a window occurs once a batch in its bucket, however often the batch has it.
+    versions, told apart by 128 bits of hash, each with its own removals. A very long text is worked on by itself, in one task. An empty table yields no rows; other columns aren't read.
+    The number of buckets follows the bytes of all texts; a name or window goes once a group of texts to its bucket, however often the group has it.
     """
-    cover = repeats(docs, width, **options).select(F.col("doc_id").alias("d"), F.col("crc").alias("c"), "cover")
-    keyed = small_batches(docs).selectExpr("cast(doc_id as bigint) doc_id", "crc32(cast(cast(text as string) as binary)) crc", "cast(text as string) text")
-    both = keyed.join(cover, keyed.doc_id.eqNullSafe(cover.d) & keyed.crc.eqNullSafe(cover.c), "left").select("doc_id", "text", "cover")
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
+    documents = _documents(docs)
+    both = _with(documents, repeats(documents, width, **options), "left").select("doc_id", "text", "list")
+    names_ = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -317,6 +418,6 @@ def dedup(docs: DataFrame, width: int = 20, with_text: bool = False, **options)
                 text = b" ".join(kept)
                 for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if with_text else None)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.string()) for c in cols[2 : 3 + with_text]]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.string()) for c in cols[2 : 3 + with_text]]], names_)
 
     return both.mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
