@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import buckets, groups_of, mix, release, small_batches, tidy, WordHashes, words_of
+from gridlens.llm.common import buckets, groups_of, mix, release, small_batches, tidy, words_of
 
 FAR = 1 << 40
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -106,7 +106,9 @@ def anchors(h: np.ndarray, first: np.ndarray, last_start: np.ndarray, width: int
         ok = open_[win]
         win, who = win[ok], who[ok]
         at[win] = who
-        got = np.unique(win)
+        mask = np.zeros(n, bool)
+        mask[win] = True
+        got = np.flatnonzero(mask)
         mine = at[got]
         key[got] = ranges.of(lo[mine], hi[mine]) + _times(level)
         at[got] = pos[mine]
@@ -143,19 +145,30 @@ TASK_BYTES = 32_000_000  # of texts for each bucket
 _KEY = ("id", "x", "y")  # a document: its id, and 128 bits of its text's hashes
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words by text). Equal words have equal hashes; that is all that is asked of them here."""
+    data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    edge = np.diff(_SPACE[data].view(np.int8))
+    a, z = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
+    ends = np.cumsum([len(r) + 1 for r in raw])  # where the next text starts, less the first space
+    return Ranges(data.astype(np.uint64) * GOLD).of(a, z), np.diff(np.searchsorted(a, ends + 1), prepend=0)
+
+
 class Texts:
     """The documents of one group: words, windows and anchors. Anchors are numbered in order of position and name, so a document numbers its own alike in any group."""
 
-    def __init__(self, b: pa.RecordBatch, i: int, j: int, hashes: WordHashes, width: int, rounds: int, keep_words: bool = False):
+    def __init__(self, b: pa.RecordBatch, i: int, j: int, width: int, rounds: int):
         self.key = [b.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in _KEY]
-        words = [words_of(t.as_py()) for t in b.column("text").slice(i, j - i)]
-        self.words = words if keep_words else None
-        n = np.array([len(x) for x in words], np.int64)
+        self.raw = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column("text").slice(i, j - i)]
+        h, n = word_hashes(self.raw)
         self.start = np.cumsum(n) - n
         self.any = bool((n >= width).any())
         if not self.any:
             return
-        h = np.concatenate([hashes.of(w) for w in words])
         doc = np.repeat(np.arange(len(n)), n)
         first = np.zeros(len(h), bool)
         first[self.start[n > 0]] = True
@@ -197,10 +210,9 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def names(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, kind, blob): kind 0, names that stand once in this group, with their anchors; 1, names that stand more often, without; 2, the anchors of those, for their documents' homes."""
-    hashes = WordHashes()
     for b in batches:
         for i, j in groups_of(b.column("text"), GROUP_BYTES):
-            t = Texts(b, i, j, hashes, width, rounds)
+            t = Texts(b, i, j, width, rounds)
             if not t.any:
                 continue
             _, inv, count = np.unique(t.name, return_inverse=True, return_counts=True)
@@ -273,34 +285,43 @@ def leads(word: np.ndarray, start: np.ndarray, order: tuple[np.ndarray, ...], wi
     """For each window of words that begins at start the first in `order` (least significant key first) that equals it word by word. Hashes propose, all words are compared."""
     lead = np.arange(len(start))
     hash_ = Ranges(mix(word.astype(np.uint64))).of(start, start + width)
-    todo = np.lexsort((*order, hash_))
+    todo = np.argsort(hash_, kind="stable")
+    run, size = _runs(hash_[todo])
+    todo = todo[np.repeat(size > 1, size)]  # most windows are alone
+    todo = todo[np.lexsort((*(k[todo] for k in order), hash_[todo]))]
     while len(todo):
         run, size = _runs(hash_[todo])
         head = np.repeat(todo[run], size)
         same = np.ones(len(todo), bool)
-        for a in range(0, len(todo), 50_000):
-            z = slice(a, a + 50_000)
+        for a in range(0, len(todo), 20_000):
+            z = slice(a, a + 20_000)
+            x, y = start[todo[z]], start[head[z]]
             for k in range(width):
-                same[z] &= word[start[todo[z]] + k] == word[start[head[z]] + k]
+                same[z] &= word[x + k] == word[y + k]
         lead[todo[same]] = head[same]
         todo = todo[~same]  # equal hashes of different words: the rest of such runs goes once more, in the same order
     return lead
 
 
-def _interned(known: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    for w in words:
-        known.setdefault(w, len(known))
-    return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+class Numbers(dict):
+    """Words, numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 def segments(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts: int) -> Iterator[pa.RecordBatch]:
     """(part, kind, blob): kind 0, the words around shared anchors for the bucket of their name, with the windows that begin there; 2, windows that repeat one in this group already."""
-    hashes = WordHashes()
     for b in batches:
         for i, j in groups_of(b.column("text"), GROUP_BYTES):
-            t = Texts(b, i, j, hashes, width, rounds, keep_words=True)
+            t = Texts(b, i, j, width, rounds)
             if not t.any:
                 continue
+            words = [r.split() for r in t.raw]
             numbers = b.column("list").slice(i, j - i)
             at_doc = np.searchsorted(t.doc, np.arange(j - i))
             size = pc.list_value_length(numbers).to_numpy(zero_copy_only=False)
@@ -310,7 +331,7 @@ def segments(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts:
             owner = np.repeat(np.arange(len(use)), n)
             doc = t.doc[use][owner]
             pos = win - t.start[doc]
-            word = _interned({}, [w for ws in t.words for w in ws])
+            word = Numbers().of([w for ws in words for w in ws])
             lead = leads(word, win, (pos, t.key[0][doc]), width)
             later = (t.key[0][doc] > t.key[0][doc[lead]]) | ((t.key[0][doc] == t.key[0][doc[lead]]) & (pos > pos[lead]))
             rows = []
@@ -328,7 +349,7 @@ def segments(batches: Iterator[pa.RecordBatch], width: int, rounds: int, parts:
 
                 def blob(a: np.ndarray) -> bytes:
                     d = t.doc[anchor[a]]
-                    text = b" ".join(b" ".join(t.words[k][p : z + width]) for k, p, z in zip(d.tolist(), s_pos[a].tolist(), s_last[a].tolist()))
+                    text = b" ".join(b" ".join(words[k][p : z + width]) for k, p, z in zip(d.tolist(), s_pos[a].tolist(), s_last[a].tolist()))
                     m = s_size[a]
                     w = np.repeat(s_at[a] - np.cumsum(m) + m, m) + np.arange(m.sum())
                     return _pack(*(k[d] for k in t.key), s_pos[a].astype(np.int32), (s_last[a] - s_pos[a] + width).astype(np.uint8), m.astype(np.uint8), (pos[sent][w] - np.repeat(s_pos[a], m)).astype(np.uint8), np.frombuffer(text, np.uint8))
@@ -341,14 +362,14 @@ def meet(key: tuple, t: pa.Table, width: int, parts: int) -> pa.Table:
     """One bucket: windows whose equal starts earlier, dealt by their documents' homes; repeats known before pass through."""
     out: list[tuple[int, bytes]] = []
     cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
-    known: dict[bytes, int] = {}
+    known = Numbers()
     base = 0
     for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob")):
         if kind:
             out.append((key[0].as_py(), blob.as_py()))
             continue
         ids, x, y, s_pos, n_words, m, off, text = _unpack(blob.as_py())
-        word = _interned(known, text.tobytes().split(b" "))
+        word = known.of(text.tobytes().split(b" "))
         first = np.cumsum(n_words.astype(np.int64)) - n_words + base
         base += len(word)
         for c, v in zip(cols, (word, *(np.repeat(k, m) for k in (ids, x, y)), np.repeat(s_pos, m) + off, np.repeat(first, m) + off)):
