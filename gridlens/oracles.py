@@ -23,7 +23,7 @@ _T: dict[str, str] = {
         CASE WHEN l_linestatus = 'F' THEN 'EN' ELSE 'RU' END AS MARKETPRODUCTTYPE FROM lineitem""",
     "report": f"""SELECT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'FORCED' ELSE 'PLANNED' END AS kind, 'RES_' || (o_custkey % 60) AS {_R}, 'Resource ' || (o_custkey % 60) AS {_N},
         CAST(50 AS DOUBLE) * (1 + o_custkey % 10) * CASE WHEN o_orderkey % 13 = 0 THEN CAST(1.04 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS {_P},
-        round(CAST(50 AS DOUBLE) * (1 + o_custkey % 10) * ((o_orderkey % 11) / CAST(10 AS DOUBLE)), 2) AS {_C}, o_orderdate AS started FROM orders""",
+        round(CAST(50 AS DOUBLE) * (1 + o_custkey % 10) * ((o_orderkey % 11) / CAST(10 AS DOUBLE)), 2) AS {_C}, o_orderdate AS started, o_orderkey FROM orders""",
     "rtm": """SELECT user_id AS RESOURCEBID_SEQ, ts AS bid_start, ts + INTERVAL 1 HOUR AS last_bid_stop, value AS mw FROM events WHERE event_type <> 'error'""",
     "down": """SELECT 'GEN_' || (user_id % 40) AS generator, ts + to_minutes(60 + event_id % 9 - 4) AS outage_start,
         CASE WHEN event_id % 7 <> 0 THEN ts + to_minutes(60 + event_id % 9 - 4) + to_minutes(30 + event_id % 300) END AS outage_stop, CAST(50 + 10 * (user_id % 40) AS DOUBLE) AS pmax_mw
@@ -109,6 +109,27 @@ _T: dict[str, str] = {
         WHERE (RESOURCEBID_SEQ, generator) NOT IN (SELECT (RESOURCEBID_SEQ, generator) FROM ofinal)) WHERE k <= 4""",
     "others_oname": """SELECT o.* EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY generator ORDER BY round(score, 9) DESC, RESOURCEBID_SEQ) AS k FROM otop
         WHERE (generator, RESOURCEBID_SEQ) NOT IN (SELECT (generator, RESOURCEBID_SEQ) FROM ofinal)) o LEFT JOIN (SELECT generator, count(*) AS n FROM ofinal GROUP BY 1) f USING (generator) WHERE k <= greatest(0, 5 - coalesce(n, 0))""",
+    "fullgrid": """SELECT RESOURCEBID_SEQ, date, CAST(hour AS INTEGER) AS hour, pct_grid, CASE WHEN pct_grid <= most THEN price_interp END AS price_interp, CAST(hour * 100 + pct_grid AS INTEGER) AS daily_x FROM filled""",
+    "rmws": """SELECT user_id AS RESOURCEBID_SEQ, date_trunc('hour', ts) AS date, hour(ts) AS hour, CASE WHEN event_id % 11 = 0 THEN value / 2 ELSE value END AS mw, (event_id % 400) / CAST(4 AS DOUBLE) - CAST(10 AS DOUBLE) AS price
+        FROM events WHERE event_type <> 'error'""",
+    "rpts": """SELECT RESOURCEBID_SEQ, date, hour, CAST(round(mw / nullif(top, 0) * 100) AS INTEGER) AS pct, avg(price) AS price FROM (SELECT *, max(mw) OVER (PARTITION BY RESOURCEBID_SEQ) AS top FROM rmws)
+        WHERE round(mw / nullif(top, 0) * 100) BETWEEN 0 AND 100 GROUP BY 1, 2, 3, 4""",
+    "rsteps": "SELECT *, lead(pct) OVER (PARTITION BY RESOURCEBID_SEQ, date, hour ORDER BY pct) AS next FROM rpts",
+    "adays": """SELECT a.*, pct_grid / CAST(100 AS DOUBLE) * max_mw AS "orig_MW" FROM (SELECT RESOURCEBID_SEQ, hour, pct_grid, daily_x, avg(price_interp) AS avg_price, stddev_samp(price_interp) AS sd, count(price_interp) AS n_days_used
+        FROM interp WHERE CAST(date AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1994-06-30' GROUP BY 1, 2, 3, 4) a LEFT JOIN ids USING (RESOURCEBID_SEQ)""",
+    "sbest": f"SELECT * FROM final ORDER BY n_matches DESC, confidence DESC, {_R} LIMIT 20",
+    "sdetail": f"""SELECT r.*, daily_max_mw - expected_available_mw AS mw_error, (daily_max_mw - expected_available_mw) / expected_available_mw AS pct_error FROM raw r
+        SEMI JOIN final f ON r.{_R} = f.{_R} AND r.RESOURCEBID_SEQ = f.RESOURCEBID_SEQ SEMI JOIN sbest b ON r.{_R} = b.{_R}""",
+    "timed": f"""SELECT kind AS "OUTAGE TYPE", {_R}, {_N}, {_P}, {_C}, started, CASE WHEN o_orderkey % 7 <> 0 THEN started + to_days(CAST(o_orderkey % 5 + 1 AS INTEGER)) END AS stopped
+        FROM report""",
+    "sdown": f"""SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {_R} ORDER BY started, stopped, {_N}, {_P}, {_C}) AS k
+        FROM (SELECT min("OUTAGE TYPE") AS "OUTAGE TYPE", {_R}, {_N}, {_P}, {_C}, started, stopped FROM timed t SEMI JOIN sbest b ON t.{_R} = b.{_R}
+        WHERE {_P} > 0 AND {_C} >= {_P} AND started IS NOT NULL AND stopped IS NOT NULL GROUP BY ALL)) WHERE k <= 2""",
+    "sbids": "SELECT d.*, CAST(STARTTIME AS DATE) AS day FROM dam d SEMI JOIN sbest b ON d.RESOURCEBID_SEQ = b.RESOURCEBID_SEQ WHERE MARKETPRODUCTTYPE = 'EN'",
+    "sdays": "SELECT RESOURCEBID_SEQ, day, count(*) AS n FROM sbids WHERE SCH_BID_XAXISDATA IS NOT NULL AND SCH_BID_Y1AXISDATA IS NOT NULL GROUP BY 1, 2",
+    "schoice": "SELECT * FROM sdays ORDER BY n < 2, CASE WHEN n >= 2 THEN abs(n - 100) ELSE -n END, RESOURCEBID_SEQ, day LIMIT 1",
+    "slookup": f"""SELECT d.{_R} AS generator, RESOURCEBID_SEQ, d.{_P} AS pmax_mw, started AS outage_start, stopped AS outage_stop, CAST(started AS DATE) - 1 AS window_start, CAST(stopped AS DATE) + 1 AS window_stop
+        FROM sdown d JOIN sbest b ON d.{_R} = b.{_R}""",
     "hist": "SELECT round(log10(1 / (1 - confidence)), 9) AS x FROM final WHERE confidence < 1",
     "ohist": "SELECT round(log10(1 / (1 - confidence)), 9) AS x FROM ofinal WHERE confidence < 1",
 }
@@ -182,6 +203,37 @@ _LAST: dict[str, str] = {
     "valid_ids": "SELECT RESOURCEBID_SEQ FROM final UNION SELECT RESOURCEBID_SEQ FROM top",
     "id_activity": 'SELECT RESOURCEBID_SEQ, start, "end" FROM wide',
     "id_attributes": "SELECT * FROM ids",
+    "outages_of_generators": "SELECT * FROM merged WHERE generator IN ('GEN_1', 'GEN_7', 'GEN_x')",
+    "interp_grid": "SELECT * FROM fullgrid",
+    "interp_curve_rtm": """SELECT RESOURCEBID_SEQ, date, CAST(hour AS INTEGER) AS hour, CAST(p AS INTEGER) AS pct_grid, price AS price_interp, CAST(hour * 100 + p AS INTEGER) AS daily_x
+        FROM (SELECT *, unnest(range(pct, coalesce(next, pct + 1))) AS p FROM rsteps) q""",
+    "average_curve_days": "SELECT * FROM adays",
+    "run_summary": f"SELECT (SELECT count(*) FROM final) AS final_matches, (SELECT count(DISTINCT RESOURCEBID_SEQ) FROM final) AS final_ids, (SELECT count(*) FROM top) AS candidate_rows, (SELECT count(DISTINCT {_R}) FROM top) AS owners",
+    "outage_run_summary": "SELECT (SELECT count(*) FROM ofinal) AS final_matches, (SELECT count(DISTINCT RESOURCEBID_SEQ) FROM ofinal) AS final_ids, (SELECT count(*) FROM otop) AS candidate_rows, (SELECT count(DISTINCT generator) FROM otop) AS owners",
+    "match_cards": f"""SELECT RESOURCEBID_SEQ, {_R} AS owner, CAST(row_number() OVER (PARTITION BY RESOURCEBID_SEQ ORDER BY match_source = 'final' DESC, round(score, 9) DESC, {_R}) AS INTEGER) AS place, trim({_N}) AS title,
+        concat_ws('; ', 'matched events: ' || n_matches, 'confidence: ' || printf('%.3f', confidence), 'score: ' || printf('%.3f', score)) AS body FROM ({_candidates("others_id")}) q""",
+    "feature_lookup": "SELECT CAST(has_null AS VARCHAR) AS Value FROM wide JOIN target ON RESOURCEBID_SEQ = t",
+    "counts_as_csv": "SELECT * FROM counts",
+    "curve_of_id": "SELECT g.* FROM fullgrid g WHERE RESOURCEBID_SEQ = (SELECT min(l_suppkey) FROM lineitem)",
+    "ingest_status": """SELECT DATE '2024-03-01' + CAST(k AS INTEGER) AS date, 'DAM' AS market, CASE WHEN n > 0 THEN 'written' WHEN k % 2 = 0 THEN 'error' ELSE 'no_data' END AS status,
+        CASE WHEN n > 0 THEN CAST(n AS INTEGER) WHEN k % 2 = 1 THEN 0 END AS n_rows, n = 0 AS has_message
+        FROM (SELECT k, count(n_regionkey) AS n FROM (SELECT unnest(range(0, (SELECT count(DISTINCT n_regionkey) + 2 FROM nation))) AS k) d LEFT JOIN nation ON n_regionkey = k GROUP BY k) q""",
+    "ingested_bids": "SELECT CAST(n_nationkey AS BIGINT) AS RESOURCEBID_SEQ, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS NAME, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / CAST(4 AS DOUBLE) END AS SCH_BID_XAXISDATA FROM nation",
+    "request_parameters": """SELECT CAST(d AS DATE) AS date, strftime((CAST(d AS TIMESTAMP) AT TIME ZONE 'America/Los_Angeles') AT TIME ZONE 'UTC', '%Y%m%dT%H:%M-0000') AS startdatetime
+        FROM (SELECT unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS d FROM events) q""",
+    "sample_final": "SELECT * FROM sbest",
+    "sample_detail": "SELECT * FROM sdetail",
+    "sample_ids": "SELECT i.* FROM ids i SEMI JOIN sbest b ON i.RESOURCEBID_SEQ = b.RESOURCEBID_SEQ",
+    "sample_outages": f"""SELECT * EXCLUDE (started, stopped), strftime(started, '%Y-%m-%d %H:%M:%S') AS "CURTAILMENT START DATE TIME", strftime(stopped, '%Y-%m-%d %H:%M:%S') AS "CURTAILMENT END DATE TIME" FROM (
+        SELECT t.* FROM timed t SEMI JOIN sdetail e ON t.{_R} = e.{_R} AND CAST(t.started AS DATE) = curtailment_date AND t.{_P} - t.{_C} = expected_available_mw
+        WHERE "OUTAGE TYPE" = 'PLANNED' AND {_P} > 0 AND {_C} < {_P} UNION ALL BY NAME SELECT * FROM sdown) q""",
+    "sample_dam": """SELECT s.RESOURCEBID_SEQ, day AS STARTTIME, SCH_BID_XAXISDATA, SELFSCHEDMW, SCH_BID_Y1AXISDATA FROM sbids s
+        SEMI JOIN sdetail e ON s.RESOURCEBID_SEQ = e.RESOURCEBID_SEQ AND day = curtailment_date""",
+    "sample_plot": "SELECT s.RESOURCEBID_SEQ, STARTTIME, SCH_BID_XAXISDATA, SCH_BID_Y1AXISDATA, SELFSCHEDMW FROM sbids s JOIN schoice c ON s.RESOURCEBID_SEQ = c.RESOURCEBID_SEQ AND s.day = c.day",
+    "sample_lookup": "SELECT * FROM slookup",
+    "sample_rtm": """SELECT DISTINCT user_id AS RESOURCEBID_SEQ, 'EN' AS MARKETPRODUCTTYPE, value AS SCH_BID_XAXISDATA, CASE WHEN event_id % 3 <> 0 THEN ts END AS SCH_BID_TIMEINTERVALSTART,
+        CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 1 HOUR END AS SCH_BID_TIMEINTERVALSTOP, ts AS TIMEINTERVALSTART, ts + INTERVAL 1 HOUR AS TIMEINTERVALEND
+        FROM events JOIN slookup ON user_id = RESOURCEBID_SEQ AND CAST(ts AS DATE) BETWEEN window_start AND window_stop WHERE event_type <> 'error'""",
 }
 
 
@@ -196,6 +248,8 @@ def _chain(last: str) -> str:
                 need.append(name)
 
     add(last)
+    if not need:
+        return last
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({_T[n]})" for n in need) + "\n" + last
 
 
@@ -214,6 +268,12 @@ _HAS = {
     "interp_curve": ["price_interp"], "average_curve": ["avg_price", "sd", "orig_MW"], "outlier_bids": ["avg_price", "sd", "SCH_BID_Y1AXISDATA", "bid_mw"], "curve_bands": ["avg_price", "sd", "orig_MW", "lower", "upper"],
     "curve_segments": ["x", "xend", "y", "yend"], "id_attributes": ["max_mw"],
 }
+_HAS |= {
+    "outages_of_generators": ["pmax_mw"], "interp_grid": ["price_interp"], "interp_curve_rtm": ["price_interp"], "curve_of_id": ["price_interp"], "average_curve_days": _HAS["average_curve"],
+    "counts_as_csv": ["confidence", "score"], "ingested_bids": ["SCH_BID_XAXISDATA"], "sample_final": _HAS["curtailment_final"], "sample_detail": _HAS["curtailment_match_detail"], "sample_ids": ["max_mw"],
+    "sample_outages": ["RESOURCE PMAX MW", "CURTAILMENT MW"], "sample_dam": ["SCH_BID_XAXISDATA", "SELFSCHEDMW", "SCH_BID_Y1AXISDATA"], "sample_plot": ["SCH_BID_XAXISDATA", "SELFSCHEDMW", "SCH_BID_Y1AXISDATA"],
+    "sample_lookup": ["pmax_mw"], "sample_rtm": ["SCH_BID_XAXISDATA"],
+}
 _HAS["outage_top_candidates"] = _HAS["outage_scores"]
 _HAS["outage_final"] = [*_HAS["outage_scores"], "confidence"]
 _HAS["outage_id_candidates"] = _HAS["outage_name_candidates"] = _HAS["outage_final"]

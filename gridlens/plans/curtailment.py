@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.exprs import finite
 from gridlens.operators.intervals import tolerance_join
 from gridlens.operators.scoring import ranked, resolve, score_curtailments
+from gridlens.sources.files import staged
 from gridlens.sources.schemas import CURT, KIND, MW, NAME, OUT_START, PMAX, RES, SELF, SEQ, STARTTIME
 
 
@@ -55,20 +56,21 @@ def raw_matches(planned: DataFrame, lookup: DataFrame, bids: DataFrame, toleranc
 
 
 def match(
-    bids: DataFrame, outages: DataFrame, id_attrs: DataFrame, tolerance: float = 0.05, pmax_tolerance: float = 0.10, min_matches: int = 2, resolve_collisions: bool = True, top_n: int = 5,
+    bids: DataFrame, outages: DataFrame, id_attrs: DataFrame, tolerance: float = 0.05, pmax_tolerance: float = 0.10, min_matches: int = 2, resolve_collisions: bool = True, top_n: int = 5, stage: bool = False,
 ) -> CurtailmentResult:
-    planned = planned_partial(outages)
+    """stage: write scores and planned events once, for callers that use several of the results."""
+    planned = staged(planned_partial(outages)) if stage else planned_partial(outages)
     lookup = pmax_lookup(planned, id_attrs, pmax_tolerance)
     raw = raw_matches(planned, lookup, bids, tolerance)
-    scores = score_curtailments(raw)
-    best = ranked(scores.where(F.col("n_matches") >= min_matches), RES, [F.col(SEQ), F.col(f"`{NAME}`")], top_n)
+    scores = staged(score_curtailments(raw)) if stage else score_curtailments(raw)
+    best = ranked(scores.where(F.col("n_matches") >= min_matches), RES, [F.col(SEQ), F.col(f"`{NAME}`")], max(top_n, 1))
     sizes = planned.groupBy(RES).agg(F.max(F.col(f"`{PMAX}`")).alias(PMAX))
     ids = id_attrs.select(SEQ, F.col("max_mw").alias("seq_max_mw"))
     full = lambda df: df.join(sizes, RES, "left").join(ids, SEQ, "left")
-    winners = ranked(scores.where(F.col("n_matches") >= min_matches), RES, [F.col(SEQ), F.col(f"`{NAME}`")], 1).drop("rank")
+    winners = best.where("rank = 1").drop("rank")
     final = full(resolve(winners, [F.col(f"`{RES}`"), F.col(f"`{NAME}`")]) if resolve_collisions else winners)
     named = [RES, NAME, PMAX, SEQ, "seq_max_mw"]
     final = final.select(*named, "n_matches", "mean_pct_err", "score", "confidence").orderBy(F.desc("confidence"), F.desc("score"), RES)
     detail = raw.join(final.select(RES, SEQ), [RES, SEQ], "left_semi").withColumn("mw_error", F.col("daily_max_mw") - F.col("expected_available_mw")).withColumn("pct_error", F.try_divide("mw_error", "expected_available_mw"))
-    top = full(best).select(*named, "rank", "n_matches", "mean_pct_err", "score", "confidence")
+    top = full(best.where(F.col("rank") <= top_n)).select(*named, "rank", "n_matches", "mean_pct_err", "score", "confidence")
     return CurtailmentResult(final, detail.orderBy(RES, "curtailment_date"), scores, top, raw, planned)

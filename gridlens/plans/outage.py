@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridlens.functions.exprs import finite, minutes_between, plus_minutes
 from gridlens.operators.intervals import OPEN_END, bid_gaps, energy_bids, interval_join, merge_outages
 from gridlens.operators.scoring import key, ranked, resolve, score_outages
+from gridlens.sources.files import staged
 from gridlens.sources.schemas import MW, SEQ
 
 
@@ -41,15 +42,17 @@ def raw_matches(outages: DataFrame, rtm: DataFrame, edge_minutes: float = 5) ->
     )
 
 
-def match(rtm: DataFrame, outages: DataFrame, generators: list[str] | None = None, edge_minutes: float = 5, min_matches: int = 1, resolve_collisions: bool = True, top_n: int = 5) -> OutageResult:
-    clean = merge_outages(outages, generators)
+def match(rtm: DataFrame, outages: DataFrame, generators: list[str] | None = None, edge_minutes: float = 5, min_matches: int = 1, resolve_collisions: bool = True, top_n: int = 5, stage: bool = False) -> OutageResult:
+    """stage: write scores and merged outages once, for callers that use several of the results."""
+    clean = staged(merge_outages(outages, generators)) if stage else merge_outages(outages, generators)
     raw = raw_matches(clean, rtm, edge_minutes)
-    scores = score_outages(raw)
+    scores = staged(score_outages(raw)) if stage else score_outages(raw)
     enough = scores.where(F.col("n_matches") >= min_matches)
     ties = [key("mean_abs_stop_offset").asc(), F.col(SEQ)]
-    winners = ranked(enough, "generator", ties, 1).drop("rank")
+    best = ranked(enough, "generator", ties, max(top_n, 1))
+    winners = best.where("rank = 1").drop("rank")
     final = resolve(winners, [key("mean_abs_stop_offset").asc(), F.col("generator")]) if resolve_collisions else winners
     final = final.orderBy(F.desc("confidence"), F.desc("score"), "generator")
     detail = raw.join(final.select("generator", SEQ), ["generator", SEQ], "left_semi").orderBy("generator", "outage_start", SEQ)
-    top = ranked(enough, "generator", ties, top_n).drop("rank", "confidence")
+    top = best.where(F.col("rank") <= top_n).drop("rank", "confidence")
     return OutageResult(final, detail, scores, top, raw, clean)

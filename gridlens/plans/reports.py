@@ -22,11 +22,10 @@ def outage_event_counts(outages: DataFrame, final: DataFrame) -> DataFrame:
 
 def confidence_histogram(final: DataFrame, bins: int = 40) -> DataFrame:
     """bin, n, n_unambiguous: counts over equal bins of log10(1 / (1 - confidence)) for confidences under 1; how many are 1 stands beside each."""
-    final = final.select("confidence").cache()  # one row an id; read three times
-    x = F.log10(1 / (1 - F.col("confidence")))
-    open_ = final.where("confidence < 1").select(F.round(x, 9).alias("x"))
-    lo, hi = open_.agg(F.min("x"), F.max("x")).first()
-    sure = final.where("confidence = 1").count()
+    x = F.round(F.log10(1 / (1 - F.col("confidence"))), 9)
+    open_ = F.col("confidence") < 1
+    lo, hi, sure = final.agg(F.min(F.when(open_, x)), F.max(F.when(open_, x)), F.count_if(F.col("confidence") == 1)).first()
+    open_ = final.where(open_).select(x.alias("x"))
     if lo is None:
         return open_.select(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"), F.lit(sure).cast("long").alias("n_unambiguous")).limit(0)
     width = (hi - lo) / bins
@@ -61,6 +60,23 @@ def candidates_by_name(best: DataFrame, every: DataFrame, events: DataFrame, nam
     return rows.join(events.select(res, count).distinct(), res, "left")
 
 
+def run_summary(final: DataFrame, top: DataFrame, owner: str) -> DataFrame:
+    """One row: final matches, candidate rows, and owners (column) that have a candidate."""
+    f = final.agg(F.lit(1).alias("one"), F.count("*").alias("final_matches"), F.countDistinct(SEQ).alias("final_ids"))
+    t = top.agg(F.lit(1).alias("one"), F.count("*").alias("candidate_rows"), F.countDistinct(F.col(f"`{owner}`")).alias("owners"))
+    return f.join(t, "one").drop("one")
+
+
+def match_cards(candidates: DataFrame, owner: str, label: str = NAME) -> DataFrame:
+    """(id, owner, place, title, body): a lookup's rows as text, best first; what is unknown or blank is left out."""
+    known = lambda c: F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`").cast("string")) != "")
+    number = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double"))
+    w = Window.partitionBy(SEQ).orderBy((F.col("match_source") == "final").desc(), F.round("score", 9).desc(), F.col(f"`{owner}`"))
+    title = F.when(known(label), F.trim(F.col(f"`{label}`").cast("string"))).otherwise("unknown")
+    lines = [F.when(known("n_matches"), F.concat(F.lit("matched events: "), F.col("n_matches").cast("string"))), F.when(known("confidence"), F.concat(F.lit("confidence: "), number("confidence", 3))), F.when(known("score"), F.concat(F.lit("score: "), number("score", 3)))]
+    return candidates.select(SEQ, F.col(f"`{owner}`").alias("owner"), F.row_number().over(w).alias("place"), title.alias("title"), F.concat_ws("; ", *lines).alias("body"))
+
+
 def valid_ids(best: DataFrame, every: DataFrame) -> DataFrame:
     """The ids one can ask candidates for."""
     return best.select(SEQ).union(every.select(SEQ)).distinct()

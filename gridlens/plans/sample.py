@@ -41,7 +41,7 @@ def build_sample(final: DataFrame, detail: DataFrame, bids: DataFrame, rtm: Data
     )
     w = Window.partitionBy(F.col(f"`{S.RES}`")).orderBy(start, stop, F.col(f"`{S.NAME}`"), p, c)
     down = outages.join(names, S.RES, "left_semi").where((p > 0) & (c >= p) & start.isNotNull() & stop.isNotNull())
-    down = down.dropDuplicates([S.RES, S.NAME, S.OUT_START, S.OUT_STOP, S.PMAX, S.CURT]).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= outages_each).drop("_k")
+    down = down.groupBy(*[F.col(f"`{k}`") for k in S.OUTAGES if k != S.KIND]).agg(F.min(F.col(f"`{S.KIND}`")).alias(S.KIND)).select(*[F.col(f"`{k}`") for k in S.OUTAGES]).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= outages_each).drop("_k")
     text = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
     report = partial.unionByName(down).withColumn(S.OUT_START, text(start)).withColumn(S.OUT_STOP, text(stop))
 

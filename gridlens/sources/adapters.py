@@ -49,6 +49,17 @@ def rtm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rtm_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Real-time bids with prices: the hour's offers of an id make its curve."""
+    return S.normalize_rtm_curves(_table(spark, sf_dir, "events").where("event_type <> 'error'").select(
+        F.col("user_id").alias(S.SEQ),
+        F.expr("date_trunc('HOUR', ts)").alias(S.STARTTIME),
+        F.col("value").alias(S.MW),
+        F.expr("(event_id % 400) / 4.0D - 10.0D").alias(S.PRICE),
+        F.expr("CASE WHEN event_id % 11 = 0 THEN value / 2 END").alias(S.SELF),
+    ))
+
+
 def full_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = "ts + make_dt_interval(0, 0, cast(60 + event_id % 9 - 4 AS int))"
     pmax = F.expr("50.0D + 10 * (user_id % 40)")

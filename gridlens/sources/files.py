@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.sources.schemas import SEQ
+from gridlens.sources.schemas import DAM, RTM, SEQ, normalized
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may do without and gets one."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridlens-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
+
+
+def place(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = place(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what several steps read is worked out once."""
+    path = temporary(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file of this content, in any file system that Spark reaches."""
+    fs, p = place(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
 
 
 def read_bids(spark: SparkSession, path: str) -> DataFrame:
@@ -19,8 +64,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_csvs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of different columns, put together by name; what a file lacks is null."""
-    frames = [spark.read.csv(p, header=True, inferSchema=True) for p in paths]
+    """Files of different columns, put together by name; what a file lacks is null.
+
+    Known columns have their declared types, others are text, so a column's type doesn't depend on a day's values; each file is read once.
+    """
+    known = RTM | DAM
+    frames = []
+    for p in paths:
+        raw = spark.read.csv(p, header=True)
+        typed = normalized(raw, {c: known.get(c, "string") for c in raw.columns})
+        frames.append(typed)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

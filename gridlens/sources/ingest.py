@@ -11,7 +11,6 @@ import datetime as dt
 import io
 import os
 import random
-import tempfile
 import time
 import urllib.parse
 import urllib.request
@@ -22,7 +21,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlens.sources.files import read_csvs
+from gridlens.sources.files import place, put, read_csvs, temporary
 from gridlens.sources.schemas import STATUS
 
 Fetcher = Callable[[dt.date, str], bytes]
@@ -68,13 +67,13 @@ def unpack(archive: bytes, market: str, day: dt.date) -> list[tuple[str, bytes]]
         with zipfile.ZipFile(io.BytesIO(archive)) as z:
             files = [(os.path.basename(n), z.read(n)) for n in z.namelist()]
     except zipfile.BadZipFile as e:
-        raise ValueError(f"Downloaded response was not a readable zip for {market} {day}: {e}") from e
+        raise ValueError(f"{market} {day}: the answer is no zip archive ({e})") from e
     prefix = f"PUB_BID_{market}"
     bids = [f for f in files if prefix in f[0]]
     if not bids:
         if any(is_no_data(c) for _, c in files):
             return []
-        raise ValueError(f"No {prefix} files found for {day}.")
+        raise ValueError(f"{market} {day}: the archive has no member named like {prefix}")
     return [f for f in bids if not is_no_data(f[1])]
 
 
@@ -86,9 +85,8 @@ def read_day(spark: SparkSession, day: dt.date, market: str, fetcher: Fetcher, w
     files = unpack(fetcher(day, market), market, day)
     paths = []
     for name, content in files:
-        paths.append(os.path.join(work_dir, f"{day:%Y%m%d}_{name}"))
-        with open(paths[-1], "wb") as f:
-            f.write(content)
+        paths.append(f"{work_dir}/{day:%Y%m%d}_{name}")
+        put(spark, paths[-1], content)
     return read_csvs(spark, paths) if paths else None
 
 
@@ -106,24 +104,24 @@ def fetch_days(spark: SparkSession, start: dt.date | str, end: dt.date | str, ma
     if last < first:
         raise ValueError("end must not be before start")
     output_dir = output_dir or f"{market.lower()}_daily"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     rows: list[tuple] = []
-    with tempfile.TemporaryDirectory(dir=work_dir) as tmp:
-        for k in range((last - first).days + 1):
-            day = first + dt.timedelta(days=k)
-            path = f"{output_dir}/{day:%Y%m%d}.parquet"
-            place = hadoop(path)
-            if skip_existing and place.getFileSystem(conf).exists(place):
+    work = f"{work_dir}/unpacked" if work_dir else temporary(spark, "unpacked")
+    for k in range((last - first).days + 1):
+        day = first + dt.timedelta(days=k)
+        path = f"{output_dir}/{day:%Y%m%d}.parquet"
+        fs, p = place(spark, path)
+        if skip_existing and fs.exists(p):
+            continue
+        try:
+            bids = read_day(spark, day, market, fetcher, f"{work}/{day:%Y%m%d}")
+            n = bids.count() if bids is not None else 0
+            if not n:
+                rows.append((day, market, "no_data", None, 0, "the day has no bids"))
                 continue
-            try:
-                bids = read_day(spark, day, market, fetcher, tmp)
-                n = bids.count() if bids is not None else 0
-                if not n:
-                    rows.append((day, market, "no_data", None, 0, "No bid data returned."))
-                    continue
-                bids.write.mode("overwrite").parquet(path)
-                rows.append((day, market, "written", path, n, None))
-            except Exception as e:  # the status row is the report
-                rows.append((day, market, "error", None, None, str(e)))
+            bids.write.mode("overwrite").parquet(path)
+            rows.append((day, market, "written", path, n, None))
+        except Exception as e:  # the status row is the report
+            rows.append((day, market, "error", None, None, str(e)))
+        finally:
+            fs.delete(place(spark, f"{work}/{day:%Y%m%d}")[1], True)
     return spark.createDataFrame(rows, STATUS).orderBy(F.col("date"))

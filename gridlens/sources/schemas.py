@@ -52,6 +52,11 @@ def normalize_rtm(df: DataFrame) -> DataFrame:
     return normalized(df, RTM)
 
 
+def normalize_rtm_curves(df: DataFrame) -> DataFrame:
+    """Real-time bids as curves need them: the same columns as day-ahead ones."""
+    return normalized(df, DAM, [SEQ, STARTTIME, MW, PRICE, SELF])
+
+
 def normalize_outages(df: DataFrame) -> DataFrame:
     return normalized(df, OUTAGES)
 

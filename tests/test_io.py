@@ -44,7 +44,7 @@ def test_ingestion(spark, tmp_path):
     status = ingest.fetch_days(spark, "2024-01-01", dt.date(2024, 1, 6), "DAM", fetch, out, work_dir=str(tmp_path)).collect()
     assert [r.status for r in status] == ["written", "no_data", "no_data", "error", "error", "error"]
     assert [r.n_rows for r in status] == [3, 0, 0, None, None, None]
-    assert "not a readable zip" in status[3].message and "No PUB_BID_DAM files found" in status[4].message and status[5].message == "down"
+    assert "no zip archive" in status[3].message and "no member named like PUB_BID_DAM" in status[4].message and status[5].message == "down"
     got = spark.read.parquet(f"{out}/20240101.parquet")
     assert sorted(got.columns) == ["A", "B", "C"] and got.where("C IS NULL").count() == 2
     again = ingest.fetch_days(spark, "2024-01-01", "2024-01-02", "DAM", fetch, out, work_dir=str(tmp_path)).collect()
