@@ -24,9 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine (tests) may do without and gets one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="gridlens-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
@@ -48,12 +50,12 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows in an Arrow batch at most: texts may be long, and a batch stands in both the JVM's and the worker's memory.
+#: Rows in an Arrow batch at most, as a batch stands in both the JVM's and the worker's memory; Spark's spark.sql.execution.arrow.maxBytesPerBatch bounds its bytes.
 BATCH_ROWS = 2000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends batches of at most BATCH_ROWS rows from now on."""
+    """df; its session sends batches of at most BATCH_ROWS rows from now on. The setting is read when a plan is made, long after this call, so it stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
         df.sparkSession.conf.set(name, str(BATCH_ROWS))
