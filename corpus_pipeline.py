@@ -47,7 +47,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Mixtures, sketches and merges have no SQL form; tests compare run() with a plain version.
+#: Mixtures, sketches and merges have no SQL form; tests hold each stage against a plain version on its own input.
 ORACLE_SQL = None
 
 
