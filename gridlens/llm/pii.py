@@ -5,9 +5,10 @@ reveals it: with n_e different contexts of the value, n_te of them with the term
 that hold the term and N units in all, the pointwise mutual information ln(n_te N / (n_t n_e)) is set
 against the value's own information ln(N / n_e). Units are the value's contexts and, apart from them,
 different texts: n_t is n_te and the texts that hold the term, but not near the value; N is n_e and the
-texts without the value. A term over the lower threshold of that ratio, for any value, is generalised to its
-class (a name, a word, an abbreviation), over the upper one removed, in all documents and wherever it
-stands, as it gives the value away there, too. Copies share their text, and near copies their
+texts without the value. A term over the lower threshold of that ratio is generalised to its
+class (a name, a word, an abbreviation), over the upper one removed, wherever it stands in the documents
+where it is near the value. In all other documents that happens if the term alone gives the value away:
+if n_te / n_t, the share of the value's units among those that hold it, is over a half. Copies share their text, and near copies their
 contexts, so they are evidence neither for a term nor against it.
 """
 
@@ -228,7 +229,7 @@ def _texts_with(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFra
 
 
 def disclosing(docs: DataFrame, base: DataFrame, support: int = 3, generalise: float = 0.6, remove: float = 0.9) -> DataFrame:
-    """(term, ratio): the hashes of terms that give a value away, with the highest ratio of any value.
+    """(entity, term, removed, alone), staged: the terms that give a value away; alone: without the value near them, too.
 
     base is find_base()'s staged table. A pair needs `support` different contexts.
     """
@@ -244,17 +245,17 @@ def disclosing(docs: DataFrame, base: DataFrame, support: int = 3, generalise: f
     n_t = F.greatest(F.col("texts") - F.col("texts_te"), F.lit(0)) + F.col("n_te")
     ratio = F.log(F.col("n_te") * n_all / (n_t * F.col("n_e"))) / F.log(n_all / F.col("n_e"))
     every = pairs.join(texts_te, ["entity", "term"]).join(n_e.join(texts_e, "entity"), "entity").where(n_all > F.col("n_e"))
-    shown = every.join(texts, "term").select("term", ratio.alias("ratio")).where(F.col("ratio") >= generalise)
-    return staged(shown.groupBy("term").agg(F.max("ratio").alias("ratio")).withColumn("removed", F.col("ratio") >= remove))
+    shown = every.join(texts, "term").select("entity", "term", ratio.alias("ratio"), (2 * F.col("n_te") > n_t).alias("alone")).where(F.col("ratio") >= generalise)
+    return staged(shown.select("entity", "term", (F.col("ratio") >= remove).alias("removed"), "alone"))
 
 
 _TERMS = "array<struct<start:int,end:int,removed:boolean>>"
 
 
-def places(docs: DataFrame, shown: DataFrame) -> DataFrame:
-    """(doc_id, th, terms): where the terms of `shown` stand, in all documents, but for places inside a base span."""
+def places(docs: DataFrame, base: DataFrame, shown: DataFrame) -> DataFrame:
+    """(doc_id, th, terms): where the terms of disclosing() stand, but for places inside a base span."""
     schema = f"doc_id long, th long, terms {_TERMS}"
-    bits = _terms_filter(shown)
+    bits = _terms_filter(shown.select("term").distinct())
     if not len(bits):
         return docs.sparkSession.createDataFrame([], schema)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -279,15 +280,19 @@ def places(docs: DataFrame, shown: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], ["doc_id", "th", "term", "start", "end"])
 
-    found = _keyed(docs).mapInArrow(tidy(run), "doc_id long, th long, term long, start int, end int").join(shown, "term")
-    per = found.groupBy("doc_id", "th", "start", "end").agg(F.bool_or("removed").alias("removed"))  # repeated rows have the same places
+    found = staged(_keyed(docs).mapInArrow(tidy(run), "doc_id long, th long, term long, start int, end int"))
+    near = base.where(F.size("ctx") > 0).select("doc_id", "th", F.explode("ctx").alias("c")).select("doc_id", "th", "c.entity", "c.term").join(shown, ["entity", "term"])
+    near = near.groupBy(F.col("doc_id").alias("d_"), F.col("th").alias("t_"), F.col("term").alias("term_")).agg(F.bool_or("removed").alias("removed"))
+    beside = found.join(near, found.doc_id.eqNullSafe(near.d_) & (found.th == near.t_) & (found.term == near.term_)).select(*found.columns, "removed")
+    alone = found.join(shown.where("alone").groupBy("term").agg(F.bool_or("removed").alias("removed")), "term").select(*found.columns, "removed")
+    per = beside.union(alone).groupBy("doc_id", "th", "start", "end").agg(F.bool_or("removed").alias("removed"))  # repeated rows have the same places
     return per.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
 
 
 def scan(docs: DataFrame, **thresholds) -> tuple[DataFrame, DataFrame]:
     """(base, terms), both staged: find_base's rows, and those of places()."""
     base = staged(find_base(docs))
-    return base, staged(places(docs, disclosing(docs, base, **thresholds)))
+    return base, staged(places(docs, base, disclosing(docs, base, **thresholds)))
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:

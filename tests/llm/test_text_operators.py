@@ -246,7 +246,7 @@ def test_terms_that_reveal(spark):
 
 
 def plain_terms(docs, support=3, generalise=0.6, remove=0.9, reach=5):
-    """{lower-cased term: removed}, straight from the definition over (text) rows."""
+    """({term: removed} for all documents, {(text, term): removed} for those with the value), straight from the definition."""
     from math import log
 
     contexts, texts = {}, {t for t in docs if t is not None} | ({""} if None in docs else set())
@@ -258,7 +258,7 @@ def plain_terms(docs, support=3, generalise=0.6, remove=0.9, reach=5):
             near = [t[a:z].lower() for a, z in [x for x in terms if x[1] <= s][-reach:] + [x for x in terms if x[0] >= e][:reach]]
             if near:
                 contexts.setdefault((k, t[s:e].lower()), []).append((tuple(near), t))
-    out = {}
+    out, beside = {}, {}
     for found in contexts.values():
         n_e, texts_e = len({c for c, _ in found}), len({t for _, t in found})
         for w in {w for c, _ in found for w in c}:
@@ -269,8 +269,11 @@ def plain_terms(docs, support=3, generalise=0.6, remove=0.9, reach=5):
             n_t = max(0, sum(w in h for h in holds.values()) - texts_te) + n_te
             ratio = log(n_te * n_all / (n_t * n_e)) / log(n_all / n_e)
             if ratio >= generalise:
-                out[w] = max(out.get(w, 0), ratio)
-    return {w: r >= remove for w, r in out.items()}
+                for t in {t for c, t in found if w in c}:
+                    beside[t, w] = beside.get((t, w), False) or ratio >= remove
+                if n_te / n_t > 0.5:
+                    out[w] = out.get(w, False) or ratio >= remove
+    return out, beside
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -289,12 +292,16 @@ def test_terms_equal_a_plain_version(spark, seed):
             t.append(rnd.choice([*said.values()]))
         docs.append((i, " ".join(t) if rnd.random() < 0.97 else None, "en", "s", 1))
     docs += docs[:10]
-    want = plain_terms([t for _, t, *_ in docs])
-    assert want and set(want) & {"secreta", "secretb", "secretc"}
+    want, beside = plain_terms([t for _, t, *_ in docs])
+    assert beside and set(want) & {"secreta", "secretb", "secretc"}
     got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(docs, DOCS)).collect()}
     for i, t, *_ in docs:
         spans = plain_spans(t or "")
-        own = [(m.start(), 4 + want[m[0].lower()], m.end()) for m in pii._TERM.finditer(t or "") if m[0].lower() in want and not any(m.start() < e and s < m.end() for s, _, e in spans)]
+        own = []
+        for m in pii._TERM.finditer(t or ""):
+            how = [x for x in (want.get(m[0].lower()), beside.get((t, m[0].lower()))) if x is not None]
+            if how and not any(m.start() < e and s < m.end() for s, _, e in spans):
+                own.append((m.start(), 4 + any(how), m.end()))
         assert got[i] == pii.joined(sorted(spans + own))
 
 
