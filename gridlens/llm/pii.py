@@ -36,7 +36,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}")  # shorter ones fail anyway
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 _DIGITS = re.compile(r"[0-9]")
-BLOOM_BITS = (14, 26)  # least and most bits of the filter of terms: 8 MB at most
+BLOOM_BITS = (20, 26)  # least and most bits of the filter of terms: 8 MB at most
 COPY_BITS = 24
 
 
@@ -164,9 +164,9 @@ def _filter_bits(hashes: DataFrame, name: str, size: int) -> np.ndarray:
 
 
 def _terms_filter(terms: DataFrame) -> np.ndarray:
-    """A filter of the terms' hashes (term): 16 slots a term, 2^26 at most."""
+    """A filter of the terms' hashes (term): 1,024 slots a term, 2^26 at most, so that few other words pass."""
     n = terms.count()
-    return _filter_bits(terms, "term", 1 << min(BLOOM_BITS[1], max(BLOOM_BITS[0], (16 * n).bit_length()))) if n else np.zeros(0, np.uint64)
+    return _filter_bits(terms, "term", 1 << min(BLOOM_BITS[1], max(BLOOM_BITS[0], (1024 * n).bit_length()))) if n else np.zeros(0, np.uint64)
 
 
 def _passing(filt: np.ndarray):
