@@ -112,16 +112,36 @@ def fit(docs: DataFrame, per_lang: int = 2000, most_langs: int = 256, smoothing:
     return Model(langs, logp)
 
 
+WORDS = 200_000  # that are worked on at once
+PIECE = 400_000  # characters of a long text, about
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+
+
+def _by_doc(like: np.ndarray, doc: np.ndarray, out: np.ndarray, of) -> np.ndarray:
+    """out plus of(words' likelihoods, their documents), added up by document, some words at a time."""
+    for a in range(0, len(doc), WORDS):
+        d = doc[a : a + WORDS]
+        at = _runs(d)
+        out[d[at]] += np.add.reduceat(of(like[a : a + WORDS], d), at, axis=0)
+    return out
+
+
 def em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: int = 25, settled: float = 2e-3) -> tuple[np.ndarray, np.ndarray]:
     """Proportions and log-likelihood of each document. like: words x languages (scaled by each word's best), words sorted by document."""
     n_docs, n = allowed.shape[0], np.diff(np.append(starts, len(doc)))
     share = allowed / allowed.sum(axis=1, keepdims=True)
     live = np.arange(n_docs)
-    w_like, w_doc, w_start, w_n = like, doc, starts, n
+    w_like, w_doc, w_n = like, doc, n
+
+    def parts(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        resp = x * share[live][d]
+        return resp / np.maximum(resp.sum(axis=1, keepdims=True), 1e-30)
+
     for r in range(rounds):
-        resp = w_like * share[live][w_doc]
-        resp /= np.maximum(resp.sum(axis=1, keepdims=True), 1e-30)
-        new = np.add.reduceat(resp, w_start, axis=0) / w_n[:, None]
+        new = _by_doc(w_like, w_doc, np.zeros((len(live), like.shape[1])), parts) / w_n[:, None]
         moved = np.abs(new - share[live]).max(axis=1) > settled
         share[live] = new
         if not moved.any():
@@ -131,30 +151,59 @@ def em(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, allowed: np.ndarra
             keep = np.repeat(moved, w_n)
             w_like, w_n = w_like[keep], w_n[moved]
             w_doc = np.repeat(np.arange(len(live)), w_n)
-            w_start = np.cumsum(w_n) - w_n
-    mixed = np.maximum((like * share[doc]).sum(axis=1), 1e-30)
-    return share, np.add.reduceat(np.log(mixed), starts)
+    return share, _by_doc(like, doc, np.zeros(n_docs), lambda x, d: np.log(np.maximum((x * share[d]).sum(axis=1), 1e-30)))
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+    """(parts of texts, the texts they are of) of about PIECE characters in all; long texts are cut where no word is."""
+    out: list[str] = []
+    owner: list[int] = []
+    size = 0
+    for k, t in enumerate(texts):
+        at = 0
+        while at < len(t) or not at:
+            end = min(len(t), at + PIECE)
+            while end < len(t) and (t[end - 1].isalpha() and t[end].isalpha()):
+                end += 1
+            if out and size + end - at > PIECE:
+                yield out, owner
+                out, owner, size = [], [], 0
+            out.append(t[at:end])
+            owner.append(k)
+            size += end - at
+            at = max(end, 1)
+    if out:
+        yield out, owner
 
 
 def mixtures(texts: list[str], model: Model, penalty: float) -> np.ndarray:
     """Language proportions by text (rows of zeros where a text has no letter)."""
     L = len(model.langs)
     out = np.zeros((len(texts), L))
-    cp, owner = code_points(texts)
-    feats, word, first = word_grams(cp)
-    if not len(first) or not L:
+    likes, docs_, alone = [], [], np.zeros((len(texts), L))
+    for part, owner_ in pieces(texts) if L else ():
+        cp, owner = code_points(part)
+        feats, word, first = word_grams(cp)
+        if not len(first):
+            continue
+        ll = np.empty((len(first), L))
+        for k in range(L):
+            ll[:, k] = np.bincount(word, model.logp[feats, k], len(first))
+        ll = np.maximum(ll - ll.max(axis=1, keepdims=True), -60)
+        d = np.array(owner_)[owner[first]]
+        at = _runs(d)
+        alone[d[at]] += np.add.reduceat(ll, at, axis=0)  # one language alone
+        likes.append(np.exp(ll).astype(np.float32))
+        docs_.append(d)
+    if not likes:
         return out
-    ll = np.empty((len(first), L))
-    for k in range(L):
-        ll[:, k] = np.bincount(word, model.logp[feats, k], len(first))
-    ll -= ll.max(axis=1, keepdims=True)
-    like = np.exp(np.maximum(ll, -60))
-    doc_id = owner[first]
-    starts = np.flatnonzero(np.concatenate([[True], doc_id[1:] != doc_id[:-1]]))
+    like, doc_id = np.concatenate(likes), np.concatenate(docs_)
+    del likes, docs_
+    starts = _runs(doc_id)
     ids = doc_id[starts]
     doc = np.repeat(np.arange(len(ids)), np.diff(np.append(starts, len(doc_id))))
     cost = penalty * np.log(np.bincount(doc) + 1.0)
-    ll1 = np.add.reduceat(np.maximum(ll, -60), starts, axis=0)  # one language alone
+    ll1 = alone[ids]
     best1 = ll1.argmax(axis=1)
     chosen = np.zeros((len(ids), L))
     chosen[np.arange(len(ids)), best1] = 1
@@ -186,7 +235,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 2.0) -> DataFrame:
     point), score its proportion. A null text, one without a letter, and any text where no language
     was learnt are 'und' with score 0 and an empty mixture. Repeated rows each get their row; an
     empty table yields none. Only doc_id and text are read: lang and source can't leak in.
-    Long texts are read whole, some at a time; no shuffle; the model's size is fixed and broadcast.
+    Long texts are read whole, in pieces, of which 4 bytes a word and language stay; no shuffle; the model's size is fixed and broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp))
 

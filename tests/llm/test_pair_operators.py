@@ -567,14 +567,40 @@ def test_near_hard_rows(spark, hard, none, wider):
 
 # -- pipeline -----------------------------------------------------------------------------------
 def test_pipeline_stages(spark):
+    from gridlens.llm import langid
+    from gridlens.llm.common import buckets
+    from tests.llm.test_text_operators import plain_mixture, plain_spans, plain_terms
+
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, sizes = docs.columns, []
+    model = langid.fit(docs)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, DATA)
         if k < 4:
             assert out.columns == columns
         out = out.cache()
         sizes.append(out.count())
+        if k == 0:
+            kept_ids = {r.doc_id for r in docs.collect() if r.text and plain_mixture(r.text[:2000], model, 2.0).sum() > 0}
+            assert {r.doc_id for r in out.collect()} == kept_ids
+        if k == 3:
+            size = lambda t: len(WORD.findall(t or ""))
+            before, after = docs.collect(), Counter(r.doc_id for r in out.collect())
+            by = Counter()
+            for r in before:
+                by[r.source] += size(r.text)
+            taken = Counter()
+            for r in before:
+                taken[r.source] += after[r.doc_id] * size(r.text)
+            largest = {s: max(size(r.text) for r in before if r.source == s) for s in by}  # documents are taken whole, and sources are small here
+            assert all(abs(taken[s] - t) <= largest[s] for s, t in fill(by).items()) and max(after.values()) <= 2
+            assert sorted({(r.doc_id, r.text) for r in out.collect()}) == sorted((r.doc_id, r.text) for r in before if after[r.doc_id])
+        if k == 4:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(queries.tokenizer_path())
+            want = Counter((r.doc_id, " ".join(map(str, tok.encode(r.text or "", add_special_tokens=False).ids))) for r in docs.collect())
+            assert Counter((r.doc_id, " ".join(map(str, r.ids))) for r in out.collect()) == want and buckets(spark)
         if k == 1:
             before = {r.doc_id: r.text for r in docs.collect()}
             left = [(r.doc_id, r.text) for r in out.collect()]
@@ -583,6 +609,12 @@ def test_pipeline_stages(spark):
             assert {d for d, _ in left} == roots
         if k == 2:
             assert not [t for (t,) in out.select("text").collect() if re.search(r"[a-z0-9]@[a-z0-9]+\.[a-z]", t or "")]
+            alone, beside = plain_terms([r.text for r in docs.collect()])
+            said = {r.doc_id: r.text for r in out.collect()}
+            for r in docs.collect():
+                words = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", r.text or "")}
+                if not plain_spans(r.text or "") and not words & set(alone):
+                    assert said[r.doc_id] == r.text, "clean documents are left alone"
         docs = out
     assert sizes[0] >= 0.99 * 200 and sizes[1] <= sizes[0] and sizes[2] == sizes[1] and sizes[4] == sizes[3]
     assert corpus_pipeline.ORACLE_SQL is None and [s for s, _ in corpus_pipeline.STAGES][-1] == "bpe"

@@ -50,6 +50,69 @@ def test_em_reaches_the_likeliest_proportions():
     assert abs(share[0, 0] - want) < 2e-3
 
 
+def plain_mixture(text, m, penalty):
+    """Word by word from the definition: nested sets by share in the full mixture, penalised likelihood."""
+    import numpy as np
+
+    rows = []
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        feats, _, _ = langid.word_grams(langid.code_points([w])[0])
+        ll = m.logp[feats].astype(float).sum(axis=0)
+        rows.append(np.exp(np.maximum(ll - ll.max(), -60)))
+    if not rows:
+        return np.zeros(len(m.langs))
+    like, n = np.array(rows), len(rows)
+
+    def fit(allowed):
+        share = allowed / allowed.sum()
+        for _ in range(25):
+            resp = like * share
+            new = (resp / np.maximum(resp.sum(axis=1, keepdims=True), 1e-30)).mean(axis=0)
+            done = np.abs(new - share).max() <= 2e-3
+            share = new
+            if done:
+                break
+        return share, np.log(np.maximum(like @ share, 1e-30)).sum()
+
+    cost = penalty * np.log(n + 1)
+    alone = np.log(like).sum(axis=0)
+    best, score = np.eye(len(m.langs))[alone.argmax()], alone.max() - cost
+    order = np.argsort(-fit(np.ones(len(m.langs)))[0], kind="stable")
+    for k in range(2, len(m.langs) + 1):
+        allowed = np.zeros(len(m.langs))
+        allowed[order[:k]] = 1
+        share, ll = fit(allowed)
+        if ll - k * cost > score:
+            best, score = share, ll - k * cost
+    return best
+
+
+def test_mixtures_equal_a_plain_version(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    m = langid.fit(docs)
+    texts = [r.text or "" for r in docs.limit(60).collect()]
+    texts += [a[:300] + " " + b[:300] for a, b in zip(texts, texts[7:])]
+    want = [plain_mixture(t, m, 2.0) for t in texts]
+    got = langid.mixtures(texts, m, 2.0)
+    assert abs(got - want).max() < 1e-3
+    monkeypatch.setattr(langid, "PIECE", 50)
+    monkeypatch.setattr(langid, "WORDS", 7)
+    assert abs(langid.mixtures(texts, m, 2.0) - got).max() < 1e-3
+
+
+def test_language_of_a_very_long_text(spark):
+    """Tens of MB in one text, in bounded memory."""
+    import tracemalloc
+
+    m = langid.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    text = "the other thing is what they said and then some more of it " * 400_000
+    tracemalloc.start()
+    share = langid.mixtures([text], m, 2.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert share.shape == (1, len(m.langs)) and share.sum() > 0.99 and peak < 700_000_000
+
+
 def test_every_language_is_learnt(spark):
     letter = [chr(0x4E00 + 50 * k) for k in range(70)]
     rows = [(1000 * k + i, " ".join(letter[k] * (1 + i % 3) for _ in range(8)), f"x{k:02d}", "s", 8) for k in range(70) for i in range(3 if k == 69 else 6)]
