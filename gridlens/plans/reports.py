@@ -70,10 +70,11 @@ def run_summary(final: DataFrame, top: DataFrame, owner: str) -> DataFrame:
 def match_cards(candidates: DataFrame, owner: str, label: str = NAME) -> DataFrame:
     """(id, owner, place, title, body): a lookup's rows as text, best first; what is unknown or blank is left out."""
     known = lambda c: F.col(f"`{c}`").isNotNull() & (F.trim(F.col(f"`{c}`").cast("string")) != "")
-    number = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double"))
+    # to 3 places; the limit lies a little off the halves, so that the order of a sum doesn't show
+    number = lambda c: F.format_string("%.3f", F.floor(F.col(c) * 1000 + 0.5003) / 1000)
     w = Window.partitionBy(SEQ).orderBy((F.col("match_source") == "final").desc(), F.round("score", 9).desc(), F.col(f"`{owner}`"))
     title = F.when(known(label), F.trim(F.col(f"`{label}`").cast("string"))).otherwise("unknown")
-    lines = [F.when(known("n_matches"), F.concat(F.lit("matched events: "), F.col("n_matches").cast("string"))), F.when(known("confidence"), F.concat(F.lit("confidence: "), number("confidence", 3))), F.when(known("score"), F.concat(F.lit("score: "), number("score", 3)))]
+    lines = [F.when(known("n_matches"), F.concat(F.lit("matched events: "), F.col("n_matches").cast("string"))), F.when(known("confidence"), F.concat(F.lit("confidence: "), number("confidence"))), F.when(known("score"), F.concat(F.lit("score: "), number("score")))]
     return candidates.select(SEQ, F.col(f"`{owner}`").alias("owner"), F.row_number().over(w).alias("place"), title.alias("title"), F.concat_ws("; ", *lines).alias("body"))
 
 
