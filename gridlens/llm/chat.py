@@ -59,6 +59,7 @@ def format_chats(conversations: DataFrame, opening: str = "<|%s|>\n", closing: s
     prefix has the same numbers. Identical rows count once. A null conv_id is a conversation like any
     other (its id counts as the largest); a null role or text is rendered empty, and differs from an empty one
     in comparisons. An empty table yields no rows; other columns aren't read.
+    Very long texts are hashed and rendered whole; a conversation's rendering is one row, whatever its length.
     Only a kept conversation's own turns are gathered, into the one row they make.
     """
     t = turns(conversations)

@@ -84,7 +84,7 @@ def judge(docs: DataFrame, least_words: int = 10, most_repeat: int = 20, most_ho
     hosts' rates (mean m, sample variance v: a + b = m (1 - m) / v - 1; weak_prior where v is 0,
     unknown, or too large for a beta). A null text has no words and fails; a null source is a host of
     its own; a null doc_id and repeated rows stay and count as rows; an empty table yields no rows.
-    Other columns aren't read. The measures are written once to the shared folder; both the count by
+    A very long text is measured whole, by itself, in one task. Other columns aren't read. The measures are written once to the shared folder; both the count by
     host, which is combined before its shuffle, and the documents read them from there. A hot host
     is one row of the counts; AQE splits its documents if the counts are too large to broadcast.
     """
