@@ -296,7 +296,7 @@ def scan(docs: DataFrame, **thresholds) -> tuple[DataFrame, DataFrame]:
 
 
 def find(docs: DataFrame, **thresholds) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: all spans of every row; term: a generalised term, removed: a removed one.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans: all spans of every row, and their number; term: a generalised term, removed: a removed one.
 
     A null or empty text has no spans. Repeated rows each get their row, a null doc_id stays null,
     rows of one doc_id with different texts are kept apart by a hash of the text; spans of different
@@ -311,7 +311,8 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     every = F.array_sort(F.concat(ours, extra))
     got = base.join(terms, (base.doc_id.eqNullSafe(terms.doc_id)) & base.th.eqNullSafe(terms.th), "left").drop(terms.doc_id).drop(terms.th)
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_join(F.transform(every, lambda x: x.said), ","))
-    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"))
+    number = F.size(parts).cast("long") + F.coalesce(F.array_size("terms"), F.lit(0))
+    return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", spans.alias("spans"), number.alias("n_spans"))
 
 
 def masked(text: str, terms: list[dict] | None) -> str:
