@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -29,6 +30,21 @@ _RARE = regex.compile("[^\x00-\u024f]")  # up to there NFC changes nothing and a
 _CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
 
 
+# The normaliser and the cuts, as tokenizer files state them, that _CUT stands for. Texts go by the library's own where a file states others.
+_NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def refuse(why: str) -> None:
+    raise ValueError(f"this encoder can't follow the tokenizer file: {why}")
+
+
 def byte_units() -> list[str]:
     """The printable stand-in for each byte in byte-level vocabularies."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -54,14 +70,28 @@ class Known(dict):
 
 
 class Codec:
-    """Tables of one tokenizer file (its JSON text), and the encoder over them."""
+    """Tables of one tokenizer file (its JSON text), and the encoder over them.
+
+    The file must hold byte-level BPE with "</w>" at word ends, without a decoder; a ValueError says what else it asks for.
+    """
 
     def __init__(self, spec: bytes, room: int = 100_000):
         d = json.loads(spec)
         model = d["model"]
-        assert model["end_of_word_suffix"] == "</w>" and not model["continuing_subword_prefix"]
+        if model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix"):
+            refuse("words must end in </w>, and pieces have no prefix")
+        if any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges")):
+            refuse("merges must be plain")
+        if d.get("decoder") or d.get("post_processor"):
+            refuse("it names a decoder or a post-processor")
+        if any(a[k] for a in d["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            refuse("added tokens must stand for their very strings")
+        if (d.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[-1].get("type") != "ByteLevel":
+            refuse("pieces must end as bytes")
+        self.plain = d["normalizer"] == _NORMALISER and d["pre_tokenizer"] == _PIECES
         vocab: dict[str, int] = model["vocab"]
         self.special = {a["content"]: a["id"] for a in d["added_tokens"]}
+        self.mark = os.path.commonprefix(list(self.special))
         self.units = byte_units()
         self.merges: dict[tuple[int, int], int] = {}
         self.base: dict[str, int] = {}
@@ -74,7 +104,8 @@ class Codec:
             i, j, k = vocab[a], vocab[b], vocab[a + b]
             self.merges[i, j] = k
             form[k] = form[i] + form[j]
-            assert k == len(self.base) + rank, "ids must follow the merges' ranks"
+            if k != len(self.base) + rank:
+                refuse("ids must follow the merges' ranks")
         self.form = form
         self.automaton = ahocorasick.Automaton()
         for i, f in form.items():
@@ -105,10 +136,10 @@ class Codec:
 
     # -- pieces ---------------------------------------------------------------------------------
     def pieces(self, part: str) -> list[str]:
-        """Normalised pieces of a text without special tokens. Rare letters go by the library's own tables."""
-        if not _RARE.search(part):
+        """Normalised pieces of a text without special tokens. Rare letters, and files with other cuts, go by the library's own tables."""
+        if self.plain and not _RARE.search(part):
             return _CUT.findall(part.lower())
-        clean = self.library.normalizer.normalize_str(part)
+        clean = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
         back = {u: b for b, u in enumerate(self.units)}
         return [bytes(back[u] for u in p).decode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
 
@@ -213,7 +244,7 @@ class Codec:
         if not text:
             return np.empty(0, np.int64), ""
         said: list[str] = []
-        parts = self.split_special.split(text) if self.split_special and "<|" in text else [text]
+        parts = self.split_special.split(text) if self.split_special and self.mark in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
                 said.append(str(self.special[part]))

@@ -168,6 +168,28 @@ def test_codec_equals_the_library(spec):
         assert c.decode(ids).decode() == t.decode(want, skip_special_tokens=False)
 
 
+def test_codec_follows_or_refuses_other_files(spec):
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert bpe.Codec(spec).plain
+    other = json.loads(spec)
+    other["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]{1,3}|[^\s\p{L}]"  # pieces of three letters
+    other["added_tokens"][0]["content"] = "[start]"
+    own = json.dumps(other).encode()
+    c, t = bpe.Codec(own), Tokenizer.from_buffer(own)
+    for x in ["", "The quick brown fox's 123 jumps", "[start]Hello<|endoftext|>", "straße İ 日本語"]:
+        want = t.encode(x, add_special_tokens=False).ids
+        ids, _ = c.encode(x)
+        assert not c.plain and ids.tolist() == want and c.decode(ids).decode() == t.decode(want, skip_special_tokens=False)
+    for change in ({"decoder": {"type": "BPEDecoder", "suffix": "</w>"}}, {"pre_tokenizer": None}, {"model": other["model"] | {"end_of_word_suffix": None}}, {"model": other["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(other | change).encode())
+    with open(queries.tokenizer_path("byte_bpe_50k.json"), "rb") as f, pytest.raises(ValueError):
+        bpe.Codec(f.read())
+
+
 def test_backtracking_equals_merging(spec):
     c = bpe.Codec(spec)
     rnd = random.Random(3)
