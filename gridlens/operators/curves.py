@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlens.functions.exprs import finite
+from gridlens.sources.files import staged
 from gridlens.sources.schemas import MW, PRICE, SELF, SEQ, STARTTIME
 
 
@@ -52,11 +53,37 @@ def average_curve(curves: DataFrame, sizes: DataFrame, seq: int | None = None, f
 
 
 def outlier_bids(bids: DataFrame, average: DataFrame, num_sd: float = 2.0) -> DataFrame:
-    """Bids over num_sd deviations off the id's average curve at their hour and grid point; without a deviation none is."""
+    """Bids over num_sd deviations off the id's average curve at their hour and grid point; without a deviation none is.
+
+    The order of a sum doesn't decide about a bid at the limit itself (three prices at equal distances have two): there the mean and
+    the deviation are worked out again in doubles, the curves in order of their date. That takes an average over all days of the bids; with another a bid at the limit is none.
+    """
     b = _points(bids).groupBy(SEQ, "date", "hour", F.col("pct").alias("mw_pct_round")).agg(F.avg("price").alias(PRICE), F.avg("mw").alias("bid_mw"))
     a = average.select(SEQ, "hour", F.col("pct_grid").alias("mw_pct_round"), "avg_price", "sd", "n_days_used")
-    p, off = F.col(PRICE), num_sd * F.col("sd")
-    return b.join(a, [SEQ, "hour", "mw_pct_round"], "left").where((p > F.col("avg_price") + off) | (p < F.col("avg_price") - off))
+    over = F.abs(F.col(PRICE) - F.col("avg_price")) - num_sd * F.col("sd")
+    slack = 1e-9 * (1 + F.abs("avg_price") + F.abs(PRICE))
+    place = [SEQ, "hour", "mw_pct_round"]
+    near = staged(b.join(a, place).where(over >= -slack).withColumn("at_limit", over <= slack))
+    limits = near.where("at_limit")
+    own = interpolate(bids.join(limits.select(SEQ).distinct(), SEQ, "left_semi")).withColumnRenamed("pct_grid", "mw_pct_round").join(limits.select(*place).distinct(), place, "left_semi")
+    exact = own.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("date", "price_interp"))).alias("days")).select(*place, F.size("days").alias("_n"), *_mean_and_sd(F.col("days.price_interp")))
+    p, off = F.col(PRICE), num_sd * F.col("_sd")
+    tied = limits.join(exact, place).where((F.col("_n") == F.col("n_days_used")) & ((p > F.col("_mean") + off) | (p < F.col("_mean") - off)))
+    columns = [*place, "date", PRICE, "bid_mw", "avg_price", "sd", "n_days_used"]
+    return near.where("NOT at_limit").select(*columns).unionByName(tied.select(*columns))
+
+
+def _mean_and_sd(prices: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation of an array, summed from its first element to its last (the deviation by Welford's updates, as engines do)."""
+    total = F.aggregate(prices, F.lit(0.0), lambda s, x: s + x)
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - s["mean"]) * (x - mean)).alias("squares"))
+
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return (total / F.size(prices)).alias("_mean"), F.aggregate(prices, start, add, lambda s: F.sqrt(F.try_divide(s["squares"], s["n"] - 1))).alias("_sd")
 
 
 def bands(average: DataFrame, num_sd: float = 2.0) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand cases of features, similarity, curves and reports."""
 
 import datetime as dt
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,24 @@ def test_average_outliers_bands(spark):
     assert curves.outlier_bids(b, curves.average_curve(c, features.id_attributes(b), first="2024-01-02", last="2024-01-02")).count() == 0
 
 
+def test_outliers_at_the_limit_do_not_depend_on_the_order(spark):
+    """Three prices at equal distances: the outer two are one deviation off. Rows in any order give what doubles give day by day."""
+    curve_prices = [(61.34, 35.95, 86.73), (86.73, 61.34, 35.95), (57.1, 10.52, 33.81), (85.47, 96.59, 91.03)]
+    want = []
+    for seq, prices in enumerate(curve_prices):
+        run, squares, total = 0.0, 0.0, 0.0
+        for n, x in enumerate(prices, 1):
+            before, run = run, run + (x - run) / n
+            squares += (x - before) * (x - run)
+            total += x  # sum() would compensate
+        mean, sd = total / 3, (squares / 2) ** 0.5
+        want += [(seq, at(24 * d)) for d, p in enumerate(prices) if p > mean + sd or p < mean - sd]
+    for order in itertools.permutations(range(3)):
+        b = bids(spark, [(seq, 24 * d, 100.0, None, prices[d]) for seq, prices in enumerate(curve_prices) for d in order]).coalesce(1)
+        a = curves.average_curve(curves.interpolate(b), features.id_attributes(b))
+        assert sorted((r[S.SEQ], r.date) for r in curves.outlier_bids(b, a, 1.0).collect()) == want
+
+
 def test_segments(spark):
     b = bids(spark, [(1, 0, 0.0, None, 5.0), (1, 0, 10.0, None, 5.0), (1, 0, 10.0, None, 8.0), (1, 1, 3.0, None, 4.0)])
     got = sorted((r.kind, r.x, r.xend, r.y, r.yend, r.single_point) for r in curves.curve_segments(b, 1).collect() if r.kind != "point")
