@@ -1,8 +1,8 @@
 """Exact top-k by inner product: a ball tree per shard, searched by branch and bound.
 
 Equal rows (id and vector) are one class with a count, made before anything else is shuffled.
-Classes are dealt to shards of about shard_rows by a hash of id and vector, so neither the copies of
-a vector nor the rows of an id meet in one shard by force. Each shard becomes one row with its
+Classes are dealt to shards by a hash of id and vector, so neither the copies of a vector nor the rows of an id meet in one shard
+by force: shards of about shard_rows, in larger tables 64 larger ones. Each shard becomes one row with its
 packed tree. Queries are packed into blocks. A block is searched in waves of shards, first one, then
 a few, then all others; after each wave the k-th score that all its shards together gave goes on
 with the block. In a shard, nodes come in the order of their upper bound q.c + |q| r and are cut as
@@ -17,13 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlens.llm.common import staged, tidy
+from gridlens.llm.common import release, staged, tidy
 
 NONE = np.iinfo(np.int64).min
 LEAF = 64
+#: Every query goes to every shard, so there are MOST_SHARDS at most until a shard holds LARGEST_SHARD rows, which bounds a worker's memory.
+MOST_SHARDS, LARGEST_SHARD = 64, 131_072
+#: So many blocks meet a tree in one task.
+LOT = 1024
 
 
 def compact(x: np.ndarray) -> np.ndarray:
@@ -87,16 +92,20 @@ def search(tree: dict, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int,
     norm = np.sqrt((f**2).sum(axis=1))
     d = min(f.shape[1], tree["c"].shape[1])
 
-    def bound(n: int, at: np.ndarray) -> np.ndarray:
-        c, reach = tree["c"][n, :d], norm[at] * tree["r"][n]
-        # the slack follows the size of the terms, as their sum may cancel out
-        return f[at, :d] @ c + reach + 1e-9 * (1 + np.abs(f[at, :d]) @ np.abs(c) + reach)
+    # of all nodes at once; the slack follows the size of the terms, as their sum may cancel out
+    c, reach = tree["c"][:, :d], norm[:, None] * tree["r"]
+    bound = f[:, :d] @ c.T + reach + 1e-9 * (1 + np.abs(f[:, :d]) @ np.abs(c).T + reach)
+    if "short" not in tree:
+        x = tree["x"].astype(np.float64)
+        tree["most"], tree["short"] = np.sqrt((x**2).sum(axis=1)).max(), x.astype(np.float32)
+    # no partial sum is over the product of the lengths, so that floats hold all of them exactly
+    short = f[:, :d].astype(np.float32) if norm.max() * tree["most"] < 2.0**24 - 1 else None
 
     live = np.arange(len(qid))
     heap: list[tuple[float, int, np.ndarray, np.ndarray]] = []
 
     def push(n: int, at: np.ndarray) -> None:
-        b = bound(n, at)
+        b = bound[at, n]
         ok = b >= kth[at]
         if ok.any():
             heapq.heappush(heap, (-b[ok].max(), n, at[ok], b[ok]))
@@ -113,17 +122,21 @@ def search(tree: dict, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int,
             continue
         for a in range(tree["lo"][n], tree["hi"][n], 4 * LEAF):
             z = min(a + 4 * LEAF, tree["hi"][n])
-            s = dot(q[at], tree["x"][a:z])
+            s = dot(q[at], tree["x"][a:z]) if short is None else short[at] @ tree["short"][a:z, :d].T
+            can = (s >= kth[at][:, None].astype(s.dtype)).any(axis=1)
+            if not can.any():
+                continue
+            rows, s = at[can], s[can].astype(np.int64)
             ids = np.broadcast_to(tree["ids"][a:z], s.shape)
             m = np.broadcast_to(tree["times"][a:z], s.shape)
-            own = (ids == qid[at][:, None]) & (tree["key"][a:z][None, :] == qkey[at][:, None])
+            own = (ids == qid[rows][:, None]) & (tree["key"][a:z][None, :] == qkey[rows][:, None])
             if own.any():
                 m = m - own
-            s = np.where((m == 0) | (s < kth[at][:, None]), NONE, s)
+            s = np.where((m == 0) | (s < kth[rows][:, None]), NONE, s)
             use = (s != NONE).any(axis=1)
             if not use.any():
                 continue
-            rows = at[use]
+            rows = rows[use]
             best[rows], who[rows], times[rows] = top_of(np.concatenate([best[rows], s[use]], axis=1), np.concatenate([who[rows], ids[use]], axis=1), np.concatenate([times[rows], m[use]], axis=1), k)
             kth[rows] = np.maximum(kth[rows], best[rows, -1])
     return best, who, times
@@ -136,13 +149,14 @@ def top_of(score: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int) -> tup
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
-    rows = col.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    if rows and all(len(r) == out.shape[1] for r in rows):
-        out[:] = np.array(rows, np.int64).reshape(out.shape)
-    else:
-        for i, r in enumerate(rows):
-            out[i, : len(r)] = r
+    """Lists of numbers as rows, shorter ones padded by zeros; straight from Arrow's buffers, as a shard is large."""
+    x = col.combine_chunks()
+    many, flat = pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False)
+    d = int(many.max(initial=0))
+    if (many == d).all():
+        return flat.reshape(len(many), d)
+    out = np.zeros((len(many), d), np.int64)
+    out[np.repeat(np.arange(len(many)), many), np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = flat
     return out
 
 
@@ -163,7 +177,8 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     v = ok.select("id", F.transform(x, lambda a: F.floor(a * scale).cast("long")).alias("v"))
     classes = staged(v.groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("key", F.xxhash64("id", "v")))
     n, n_queries = classes.agg(F.count("*"), F.count_if(F.col("id") % query_every == 0)).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // block_rows))
+    shards, blocks = max(1, min(-(-n // shard_rows), MOST_SHARDS), -(-n // LARGEST_SHARD)), max(1, -(-n_queries // block_rows))
+    lots = -(-blocks // LOT)
     queries = classes.where(F.col("id") % query_every == 0)
 
     def pack_tree(key: tuple, t: pa.Table) -> pa.Table:
@@ -179,15 +194,20 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     trees = staged(classes.withColumn("shard", deal(shards, 1)).groupBy("shard").applyInArrow(pack_tree, "shard int, tree binary"))
     state = staged(queries.withColumn("block", deal(blocks, 2)).groupBy("block").applyInArrow(pack_block, "block int, qs binary, best binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(block, qs, tree) -> (block, best) of that shard."""
-        for b in batches:
-            for blk, qs, tree in zip(b.column("block").to_pylist(), b.column("qs"), b.column("tree")):
-                qid, qkey, _, q, kth = pickle.loads(qs.as_py())
-                got = search(pickle.loads(tree.as_py()), qid, q, kth, k, qkey)
-                use = (got[0] != NONE).any(axis=1)
-                if use.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([pickle.dumps((np.flatnonzero(use), *(x[use] for x in got)), 5)], pa.binary())], ["block", "found"])
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        """A lot's blocks and one shard's tree: (block, best of that shard)."""
+        of, found = [], []
+        tree = pickle.loads(right.column("tree")[0].as_py()) if len(left) and len(right) else None
+        for blk, qs in zip(left.column("block").to_pylist(), left.column("qs")) if tree else ():
+            qid, qkey, _, q, kth = pickle.loads(qs.as_py())
+            got = search(tree, qid, q, kth, k, qkey)
+            use = (got[0] != NONE).any(axis=1)
+            if use.any():
+                of.append(blk)
+                found.append(pickle.dumps((np.flatnonzero(use), *(x[use] for x in got)), 5))
+        del tree
+        release()
+        return pa.table({"block": pa.array(of, pa.int32()), "found": pa.array(found, pa.binary())})
 
     def merge(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """A block's results so far and those of a wave: the best of both, and the k-th scores they give."""
@@ -203,7 +223,10 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int =
     for upto in sorted({1, min(1 + second_wave, shards), shards}):
         # a block begins with its own shard, so that the waves spread over all of them
         wave = state.select("block", "qs", F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("step")).withColumn("shard", F.pmod(F.col("block") + F.col("step"), F.lit(shards)).cast("int"))
-        found = wave.join(trees, "shard").select("block", "qs", "tree").mapInArrow(tidy(run), "block int, found binary")
+        wave = wave.withColumn("lot", F.pmod("block", F.lit(lots))).groupBy("shard", "lot")
+        forest = trees.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).groupBy("shard", "lot")
+        # a cogroup hands a tree over once for all blocks of a lot, and no side of it can be sent to the driver
+        found = wave.cogroup(forest).applyInArrow(run, "block int, found binary")
         state = staged(state.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(merge, "block int, qs binary, best binary"))
         done = upto
 

@@ -164,6 +164,24 @@ def test_top_k_with_repeated_ids_and_rows(spark):
     assert sorted((r.vec_id, r.rank) for r in topk.top_k(three, shard_rows=2).collect()) == sorted([(78, 1), (1200, 2), (1200, 3)] * 3)
 
 
+def test_top_k_sends_nothing_to_the_driver(spark, monkeypatch):
+    """Blocks times shards are many bytes from small tables: no plan may broadcast them. Several lots of blocks meet the few shards that there are at most."""
+    plans, keep = [], topk.staged
+    monkeypatch.setattr(topk, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    monkeypatch.setattr(topk, "MOST_SHARDS", 5, raising=False)
+    monkeypatch.setattr(topk, "LOT", 3, raising=False)
+    rnd = np.random.default_rng(6)
+    vecs = [(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(rnd.normal(size=(300, 4)))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<float>"), k=4, query_every=10, shard_rows=20, block_rows=4, second_wave=2).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, got)) == brute_top(vecs, 4, 10, 1024)
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_top_k_few_or_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (5, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 5, 1024 * 2048)]
