@@ -56,6 +56,22 @@ def test_similarity(spark):
     assert abs(sum(similarity.weights().values()) - 1) < 1e-12 and similarity.weights()["days_active"] == 0
 
 
+def test_cosine_pairs_are_not_broadcast(spark):
+    """Few bytes of vectors make many of pairs of blocks; the plan may not send them through the driver, whatever the threshold."""
+    v = spark.createDataFrame([(k, [float(k % 7 - 3), float(k % 5), 1.0]) for k in range(40)], f"{S.SEQ} long, vector array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        pairs = similarity.cosine_pairs(v, 6)
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = {(r.id_a, r.id_b): r.cosine_similarity for r in pairs.collect()}
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    x = {r[S.SEQ]: r.vector for r in v.collect()}
+    assert got == {(a, b): sum(p * q for p, q in zip(x[a], x[b])) for a in x for b in x if a != b}
+
+
 def test_constant_features_give_zero(spark):
     w = features.features(bids(spark, [(i, 0, 5.0, None, 1.0) for i in (1, 2)]))
     assert [r.cosine_similarity for r in similarity.cosine_pairs(similarity.profiles(w)).collect()] == [0.0, 0.0]
