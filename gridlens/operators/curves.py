@@ -21,22 +21,48 @@ def _points(bids: DataFrame) -> DataFrame:
     return b.join(top, SEQ).select(SEQ, "date", F.hour("date").alias("hour"), "mw", "price", pct.alias("pct")).where("pct IS NOT NULL AND price IS NOT NULL")
 
 
-def interpolate(bids: DataFrame, outside: bool = False) -> DataFrame:
-    """(id, date, hour, pct_grid, price_interp, daily_x): each curve as a step function on 0..100 %.
+def knots(bids: DataFrame) -> DataFrame:
+    """(id, date, hour, pct, price_interp, before, after): each curve's points, one a percentage, and the percentages on both sides; off the grid as well.
 
-    A point's price holds up to the next point; before the first and after the last there is no price.
-    outside: also the rows without one, 101 for each curve, even for a curve with points off the grid only.
+    This is what to shuffle or sort: the grid of on_grid is many times as long.
     """
     own = Window.partitionBy(SEQ, "date", "hour").orderBy("pct")
     pts = _points(bids).groupBy(SEQ, "date", "hour", "pct").agg(F.avg("price").alias("price_interp"))
-    on = pts.where("pct BETWEEN 0 AND 100").withColumn("next", F.lead("pct").over(own))
-    steps = on.select(SEQ, "date", "hour", F.explode(F.sequence(F.col("pct"), F.coalesce(F.col("next") - 1, F.col("pct")))).alias("pct_grid"), "price_interp")
+    return pts.withColumn("before", F.lag("pct").over(own)).withColumn("after", F.lead("pct").over(own))
+
+
+def on_grid(points: DataFrame, outside: bool = False) -> DataFrame:
+    """knots() as the rows of interpolate(), row by row and in their order."""
+    pct, here = F.col("pct"), F.col("pct").between(0, 100)
+    first, last = ~F.coalesce(F.col("before") >= 0, F.lit(False)), ~F.coalesce(F.col("after") <= 100, F.lit(False))
+
+    def run(lo: Column, hi: Column, price: Column) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"), price.alias("price"))
+
+    # a row without a date belongs to no curve of the grid
+    price = F.when(F.col("date").isNotNull(), F.col("price_interp")) if outside else F.col("price_interp")
+    held = F.when(here, run(pct, F.when(last, pct).otherwise(F.col("after") - 1), price))
     if outside:
-        every = pts.select(SEQ, "date", "hour").distinct().withColumn("pct_grid", F.explode(F.sequence(F.lit(0), F.lit(100))))
-        steps = every.join(steps, [SEQ, "date", "hour", "pct_grid"], "left")
+        none = F.lit(None).cast("double")
+        # one point speaks for a curve that has none on the grid: the last below it, else the first above it
+        empty = F.when((pct < 0) & last | (pct > 100) & F.col("before").isNull(), run(F.lit(0), F.lit(100), none))
+        runs = F.array(F.when(here & first & (pct > 0), run(F.lit(0), pct - 1, none)), held, F.when(here & last & (pct < 100), run(pct + 1, F.lit(100), none)), empty)
+    else:
+        runs = F.array(held)
+    r = points.select(SEQ, "date", "hour", F.explode(F.filter(runs, lambda x: x.isNotNull())).alias("r"))
+    steps = r.select(SEQ, "date", "hour", F.explode(F.sequence(F.col("r.lo"), F.col("r.hi"))).alias("pct_grid"), F.col("r.price").alias("price_interp"))
     return steps.withColumn("daily_x", F.col("hour") * 100 + F.col("pct_grid")).select(SEQ, "date", "hour", "pct_grid", "price_interp", "daily_x")
 
 
+def interpolate(bids: DataFrame, outside: bool = False) -> DataFrame:
+    """(id, date, hour, pct_grid, price_interp, daily_x): each curve as a step function on 0..100 %.
+
+    A point's price holds up to the next point; before the first and after the last there is no price.
+    outside: also the rows without one, 101 for each curve, even for a curve with points off the grid only.
+    """
+    return on_grid(knots(bids), outside)
+
+
 def average_curve(curves: DataFrame, sizes: DataFrame, seq: int | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
     """Mean and deviation of each id's curves by hour and grid point, over the days from first to last.
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import itertools
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,30 @@ def test_step_fill(spark):
     assert curves.interpolate(b).count() == 31
 
 
+def test_grid_equals_a_plain_version_and_is_not_dealt(spark):
+    """Points below, on and above the grid; Spark deals and sorts points only, never the grid's rows."""
+    rnd = random.Random(3)
+    pts = [(seq, hour, float(rnd.choice([-30, -20, -10, 5, 10, 25, 50, 75, 100])), None, float(rnd.randint(1, 9))) for seq in range(8) for hour in range(4) for _ in range(rnd.randint(1, 4))]
+    pts += [(8, 0, -1.0, None, 1.0), (8, 0, -5.0, None, 2.0), (8, 1, -7.0, None, 3.0), (9, 0, 10.0, None, 4.0), (9, 1, -10.0, None, 5.0), (7, None, 20.0, None, 6.0)]
+    top, curve = {}, {}
+    for seq, _, mw, _, _ in pts:
+        top[seq] = max(mw, top.get(seq, mw))
+    for seq, hour, mw, _, price in pts:
+        if top[seq]:
+            curve.setdefault((seq, at(hour)), {}).setdefault(math.floor(abs(mw / top[seq] * 100) + 0.5) * (1 if mw / top[seq] >= 0 else -1), []).append(price)
+    want = []
+    for (seq, date), c in curve.items():
+        on = sorted(p for p in c if 0 <= p <= 100)
+        for g in range(101):
+            held = [p for p in on if p <= g] if date and on and g <= on[-1] else []
+            want.append((seq, str(date), g, round(sum(c[held[-1]]) / len(c[held[-1]]), 9) if held else None))
+    got = curves.interpolate(bids(spark, pts), outside=True)
+    rows = [(r[S.SEQ], str(r.date), r.pct_grid, None if r.price_interp is None else round(r.price_interp, 9)) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.index("Generate explode(sequence(") < min(plan.index("Exchange"), plan.index("Join"))
+
+
 def test_point_ties_and_off_grid(spark):
     b = bids(spark, [(1, 0, 30.1, None, 4.0), (1, 0, 29.9, None, 6.0), (1, 1, 100.0, None, 1.0), (2, 0, -5.0, None, 3.0), (2, 1, 10.0, None, None)])
     got = curves.interpolate(b, outside=True)
