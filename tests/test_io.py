@@ -86,6 +86,19 @@ def test_curves_file_prunes_by_id(spark, tmp_path):
     assert "PushedFilters: [IsNotNull" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_curves_file_deals_points_only(spark, tmp_path):
+    """Written from points, the file holds the whole grid, in the order of ids and grid points."""
+    from gridlens.operators.curves import interpolate, knots, on_grid
+
+    dam = adapters.dam(spark, DATA)
+    files.write_curves(knots(dam), str(tmp_path / "curves"), 4, lambda points: on_grid(points, outside=True))
+    got, want = spark.read.parquet(str(tmp_path / "curves")), interpolate(dam, outside=True)
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    for f in sorted((tmp_path / "curves").glob("*.parquet")):
+        keys = [tuple(r) for r in spark.read.parquet(str(f)).coalesce(1).select("RESOURCEBID_SEQ", "date", "hour", "pct_grid").collect()]
+        assert keys == sorted(keys)
+
+
 def test_normalize(spark):
     raw = spark.createDataFrame([("1", "2024-01-01 05:00:00", "7.5", None, "x"), ("z", "bad", "", "1", "x")], f"{S.SEQ} string, {S.STARTTIME} string, {S.MW} string, {S.SELF} string, other string")
     a, b = S.normalize_dam(raw).collect()
