@@ -43,16 +43,22 @@ def daily_max_mw(bids: DataFrame) -> DataFrame:
     return bids.groupBy(SEQ, F.to_date(STARTTIME).alias("date")).agg(F.max(offer).alias("daily_max_mw")).where("daily_max_mw IS NOT NULL")
 
 
-def raw_matches(planned: DataFrame, lookup: DataFrame, bids: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Events whose remaining capacity a fitting id's daily maximum meets within the tolerance.
+def raw_matches(planned: DataFrame, id_attrs: DataFrame, bids: DataFrame, tolerance: float = 0.05, pmax_tolerance: float = 0.10, pairs: DataFrame | None = None) -> DataFrame:
+    """Events whose remaining capacity a fitting id's daily maximum meets within the tolerance, once for each of the resource's capacities that fits.
 
-    Bids of ids that fit no event are dropped before the daily maxima are taken. An event then meets the maxima of
-    its date that lie near its capacity, which are few, and only those pairs are checked against the sizes.
+    Bids of ids that fit no event are dropped before the daily maxima are taken. An event carries its resource's capacities and a maximum
+    its id's size, so the task that finds them near each other also tells whether they fit: near pairs that don't are never dealt.
+    pairs: (resource, id) pairs to which the result is confined.
     """
-    wanted = lookup.select(SEQ).distinct()
-    daily = daily_max_mw(bids.select(SEQ, STARTTIME, MW, SELF).join(wanted, SEQ, "left_semi")).withColumnRenamed("date", "curtailment_date")
-    near = tolerance_join(planned, "expected_available_mw", daily, "daily_max_mw", tolerance, ["curtailment_date"]).join(lookup, [RES, SEQ])
-    return near.select(RES, NAME, "curtailment_date", PMAX, CURT, "expected_available_mw", SEQ, "daily_max_mw")
+    wanted = (pairs if pairs is not None else pmax_lookup(planned, id_attrs, pmax_tolerance)).select(SEQ).distinct()
+    daily = daily_max_mw(bids.select(SEQ, STARTTIME, MW, SELF).join(wanted, SEQ, "left_semi")).withColumnRenamed("date", "curtailment_date").join(id_attrs.select(SEQ, F.col("max_mw").alias("_max")), SEQ)
+    sizes = planned.groupBy(RES).agg(F.collect_set(PMAX).alias("_sizes"))
+    events = planned if pairs is None else planned.join(pairs.select(RES).distinct(), RES, "left_semi")
+    near = tolerance_join(events.join(sizes, RES), "expected_available_mw", daily, "daily_max_mw", tolerance, ["curtailment_date"])
+    fit = F.size(F.filter("_sizes", lambda s: F.abs(F.col("_max") - s) / s <= pmax_tolerance))
+    near = near.withColumn("_fit", fit).where("_fit > 0").withColumn("_fit", F.explode(F.sequence(F.lit(1), "_fit")))
+    near = near.select(RES, NAME, "curtailment_date", PMAX, CURT, "expected_available_mw", SEQ, "daily_max_mw")
+    return near if pairs is None else near.join(pairs.select(RES, SEQ).distinct(), [RES, SEQ], "left_semi")
 
 
 def match(
@@ -60,8 +66,7 @@ def match(
 ) -> CurtailmentResult:
     """stage: write scores and planned events once, for callers that use several of the results."""
     planned = staged(planned_partial(outages)) if stage else planned_partial(outages)
-    lookup = pmax_lookup(planned, id_attrs, pmax_tolerance)
-    raw = raw_matches(planned, lookup, bids, tolerance)
+    raw = raw_matches(planned, id_attrs, bids, tolerance, pmax_tolerance)
     scores = staged(score_curtailments(raw)) if stage else score_curtailments(raw)
     best = ranked(scores.where(F.col("n_matches") >= min_matches), RES, [F.col(SEQ), F.col(f"`{NAME}`")], max(top_n, 1))
     sizes = planned.groupBy(RES).agg(F.max(F.col(f"`{PMAX}`")).alias(PMAX))
@@ -71,6 +76,8 @@ def match(
     final = full(resolve(winners, [F.col(f"`{RES}`"), F.col(f"`{NAME}`")]) if resolve_collisions else winners)
     named = [RES, NAME, PMAX, SEQ, "seq_max_mw"]
     final = final.select(*named, "n_matches", "mean_pct_err", "score", "confidence").orderBy(F.desc("confidence"), F.desc("score"), RES)
-    detail = raw.join(final.select(RES, SEQ), [RES, SEQ], "left_semi").withColumn("mw_error", F.col("daily_max_mw") - F.col("expected_available_mw")).withColumn("pct_error", F.try_divide("mw_error", "expected_available_mw"))
+    # the winners are few: theirs are matched again by themselves, so that all raw matches needn't be dealt to them
+    matched = raw_matches(planned, id_attrs, bids, tolerance, pmax_tolerance, final.select(RES, SEQ))
+    detail = matched.withColumn("mw_error", F.col("daily_max_mw") - F.col("expected_available_mw")).withColumn("pct_error", F.try_divide("mw_error", "expected_available_mw"))
     top = full(best.where(F.col("rank") <= top_n)).select(*named, "rank", "n_matches", "mean_pct_err", "score", "confidence")
     return CurtailmentResult(final, detail.orderBy(RES, "curtailment_date"), scores, top, raw, planned)

@@ -54,6 +54,22 @@ def test_two_capacities_double_the_matches(spark):
     assert [x[S.PMAX] for x in r.final_matches.collect()] == [104]
 
 
+def test_near_pairs_are_not_dealt(spark):
+    """Whether a size fits is told where the pair is found: no join by resource and id over all near pairs. The detail is the winners' raw matches."""
+    from gridlens.operators import features
+    from gridlens.sources import adapters
+    from tests.conftest import DATA
+
+    dam, down = adapters.dam(spark, DATA), adapters.outages(spark, DATA)
+    m = curtailment.match(dam, down, features.id_attributes(dam))
+    joins = [x for x in m.raw_matches._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("RESOURCE ID#" in x and "RESOURCEBID_SEQ#" in x for x in joins)
+    won = {(r[S.RES], r[S.SEQ]) for r in m.final_matches.collect()}
+    cols = m.raw_matches.columns
+    want = sorted(str(tuple(r)) for r in m.raw_matches.collect() if (r[S.RES], r[S.SEQ]) in won)
+    assert want and sorted(str(tuple(r)) for r in m.match_detail.select(*[F.col(f"`{c}`") for c in cols]).collect()) == want
+
+
 def test_tolerance_is_inclusive(spark):
     left = spark.createDataFrame([(64.0,), (0.0,), (-5.0,), (None,)], "p double")
     right = spark.createDataFrame([(68.0,), (60.0,), (68.0001,), (59.9999,), (None,), (0.0,)], "v double")
