@@ -74,6 +74,30 @@ def test_cosine_pairs_are_not_broadcast(spark):
     assert got == {(a, b): sum(p * q for p, q in zip(x[a], x[b])) for a in x for b in x if a != b}
 
 
+def test_cosine_pairs_of_equal_vectors_follow_each_other(spark):
+    """Copies of 20 vectors, more of the first than stand together: each pair is there, and a file can store a value once for many."""
+    x = {k: [math.sin(j * (c + 1)) for j in range(5)] for k in range(600) for c in (0 if k < 150 else k % 20,)} | {900: [1.0, None], 901: [1.0, None], 902: None, 903: [2.0]}
+    pairs = similarity.cosine_pairs(spark.createDataFrame(list(x.items()), f"{S.SEQ} long, vector array<double>").repartition(3), 100)
+    got = pairs.toPandas()
+    whole = {k: v for k, v in x.items() if k < 900}
+    value = {(r.id_a, r.id_b): r.cosine_similarity for r in got.itertuples()}
+    assert len(got) == len(value) == len(x) * (len(x) - 1) and all(a != b for a, b in value)
+    assert all(abs(value[a, b] - sum(p * q for p, q in zip(whole[a], whole[b]))) < 1e-12 for a in whole for b in whole if a != b)
+    assert all(math.isnan(v) for (a, b), v in value.items() if max(a, b) >= 900)
+    known = got.cosine_similarity.dropna()
+    assert (known != known.shift()).sum() < len(known) / 20
+
+
+def test_cosine_pairs_deal_each_vector_once(spark):
+    """However many parts there are, no vector is copied for each of them before a shuffle."""
+    v = spark.createDataFrame([(k, [float(k % 7 - 3), float(k), 1.0]) for k in range(40)], f"{S.SEQ} long, vector array<double>")
+    pairs = similarity.cosine_pairs(v, 6)
+    assert pairs.count() == 40 * 39
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "MergeJoin" not in plan and "Broadcast" not in plan
+    assert pairs.rdd.getNumPartitions() == 49
+
+
 def test_constant_features_give_zero(spark):
     w = features.features(bids(spark, [(i, 0, 5.0, None, 1.0) for i in (1, 2)]))
     assert [r.cosine_similarity for r in similarity.cosine_pairs(similarity.profiles(w)).collect()] == [0.0, 0.0]
